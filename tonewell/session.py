@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +38,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder and read from there: a lost executor loses nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a parquet table in the checkpoint folder.
+
+    Like checkpoint(), but its size on disk is known to the planner, which then broadcasts it only if it is
+    small enough for `spark.sql.autoBroadcastJoinThreshold`.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
