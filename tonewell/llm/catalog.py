@@ -9,12 +9,21 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators.packed import split_packed
-from ..session import table
-from . import encode, neardup, overlap, terms, topn
+from ..session import table, written
+from . import encode, mixing, neardup, neighbours, overlap, stuffed, terms, topn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_similar(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 most similar vectors of every vector, down to a cosine of 0.85."""
+    return neighbours.similar_vectors(table(spark, folder, "clip_vectors"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.similar_pairs(p1_similar(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_items(table(spark, folder, "neighbors"), "anchor_id", "audio_id", "score", 5).select("anchor_id", "audio_id", "rnk")
 
@@ -81,8 +90,28 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def _mix(spark: SparkSession, folder: str) -> DataFrame:
+    sized = written(encode.token_counts(table(spark, folder, "documents"), "doc_id", "text", "source"))
+    return mixing.mixture(sized, table(spark, folder, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix in reading order: which document is used, in which pass over its source, and when."""
+    return _mix(spark, folder)
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixing.shares(_mix(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    shares = stuffed.stuffed(table(spark, folder, "documents"), "doc_id", "text")
+    return shares.where(F.col("share") > stuffed.MOST).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
-    made = [p3_found, p4_found, p4_terms, p4_ngrams, p5_found, p5_report, p6_found, p6_groups, p8_ids]
+    made = [p1_found, p1_similar, p3_found, p4_found, p4_terms, p4_ngrams, p5_found, p5_report, p6_found, p6_groups, p8_ids, p9_mix, p9_shares, p10_found]
     return {f.__name__: f for f in made}
 
 
@@ -115,8 +144,19 @@ WITH RECURSIVE r AS (
 """
 
 
+_SIMILAR = """
+WITH v AS (SELECT vec_id, bundle, embedding::DOUBLE[] AS e FROM clip_vectors
+           WHERE bundle IS NOT NULL AND len(embedding) = 96 AND NOT list_bool_or(list_transform(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+     u AS (SELECT vec_id, bundle, e, sqrt(list_inner_product(e, e)) AS n FROM v),
+     p AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_inner_product(x.e, y.e) / (x.n * y.n), 6) AS c FROM u x JOIN u y ON x.bundle = y.bundle AND x.vec_id <> y.vec_id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rnk FROM p)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _SIMILAR + "SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE rnk <= 5 AND c >= 0.85",
+        "p1_similar": _SIMILAR + "SELECT a AS vec_id, b AS other, c AS cosine, CAST(rnk AS INT) AS rnk FROM r WHERE rnk <= 5 AND c >= 0.85",
         "p3_found": """
 WITH best AS (SELECT anchor_id, audio_id, max(score) AS s FROM neighbors
               WHERE anchor_id IS NOT NULL AND audio_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) AND anchor_id <> audio_id GROUP BY ALL)
