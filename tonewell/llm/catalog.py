@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 from ..operators.packed import split_packed
 from ..session import table, written
-from . import encode, mixing, neardup, neighbours, overlap, stuffed, terms, topn
+from . import defects, encode, mixing, neardup, neighbours, overlap, stuffed, terms, topn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.similar_pairs(p1_similar(spark, folder))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return defects.defects(table(spark, folder, "intent_queries"), table(spark, folder, "documents"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_items(table(spark, folder, "neighbors"), "anchor_id", "audio_id", "score", 5).select("anchor_id", "audio_id", "rnk")
 
@@ -111,7 +115,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    made = [p1_found, p1_similar, p3_found, p4_found, p4_terms, p4_ngrams, p5_found, p5_report, p6_found, p6_groups, p8_ids, p9_mix, p9_shares, p10_found]
+    made = [p1_found, p1_similar, p2_found, p3_found, p4_found, p4_terms, p4_ngrams, p5_found, p5_report, p6_found, p6_groups, p8_ids, p9_mix, p9_shares, p10_found]
     return {f.__name__: f for f in made}
 
 
@@ -146,7 +150,7 @@ WITH RECURSIVE r AS (
 
 _SIMILAR = """
 WITH v AS (SELECT vec_id, bundle, embedding::DOUBLE[] AS e FROM clip_vectors
-           WHERE bundle IS NOT NULL AND len(embedding) = 96 AND NOT list_bool_or(list_transform(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+           WHERE bundle IS NOT NULL AND len(embedding) = 96 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
      u AS (SELECT vec_id, bundle, e, sqrt(list_inner_product(e, e)) AS n FROM v),
      p AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_inner_product(x.e, y.e) / (x.n * y.n), 6) AS c FROM u x JOIN u y ON x.bundle = y.bundle AND x.vec_id <> y.vec_id),
      r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rnk FROM p)

@@ -4,9 +4,13 @@ The words of a text are thrown into `bands * rows` bins by one hash function; ea
 and an empty bin borrows from the bin that a second hash names, again and again until one is filled (optimal
 densification). Bands of the bins are bucket keys. In a bucket of n members only stars are candidates: each
 member with each of three centres, which hashes choose anew for every band, so a bucket gives at most 3n
-pairs however full it is. Candidates are tested exactly, and linked rows are joined to groups.
+pairs however full it is. A bucket that is full within one batch sends its star on from there, with its
+centres as its only members, so no hot bucket gathers in a task. Candidates are tested exactly, and linked
+rows are joined to groups.
 
-Equal word sets are one class from the start; only its smallest key takes part.
+Words of a large part of all texts say little and would fill buckets with strangers; they are left out of the
+hashing, though not of the test. A text with few other words is hashed whole, and one that could be near such
+a text is hashed both ways. Equal word sets are one class from the start; only its smallest key takes part.
 """
 
 from __future__ import annotations
@@ -18,13 +22,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import written
 from .components import components
-from .sets import MIN_WORDS, THRESHOLD, classes, verified, with_words
+from .sets import MIN_WORDS, THRESHOLD, verified, with_words
 
-BANDS = 64
-ROWS = 8
+BANDS = 40
+ROWS = 4
+#: Bands and rows for texts that are hashed whole.
+WHOLE = (40, 6)
 CENTRES = 3
+#: Words in more than this share of the texts are left out of the hashing; at most (words a text) / COMMON such.
+COMMON = 0.1
+#: Other words that a text must have to be hashed without the common ones.
+LEAST = 4
+#: Members of a bucket in one batch from which the batch makes its star.
+FULL = 16
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -34,14 +46,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def densified(sets: list[np.ndarray], bins: int) -> np.ndarray:
-    """One row per set (none may be empty) and one column per bin: its least hash, borrowed where it is empty."""
-    n = len(sets)
-    flat = _mix(np.concatenate(sets).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    place = (owner * bins + (flat % np.uint64(bins)).astype(np.int64)).astype(np.int64)
+def densified(flat: np.ndarray, owner: np.ndarray, n: int, bins: int) -> np.ndarray:
+    """One row per set (0 to n - 1, none empty) and one column per bin: its least hash, borrowed where it is empty.
+
+    `flat` holds the words of all sets and `owner` the set of each.
+    """
+    hashed = _mix(flat.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    place = owner * bins + (hashed % np.uint64(bins)).astype(np.int64)
     out = np.full(n * bins, EMPTY, np.uint64)
-    np.minimum.at(out, place, flat // np.uint64(bins))
+    np.minimum.at(out, place, hashed // np.uint64(bins))
     filled = out != EMPTY
     todo = np.flatnonzero(~filled)
     attempt = 0
@@ -52,61 +65,144 @@ def densified(sets: list[np.ndarray], bins: int) -> np.ndarray:
         rows, cols = np.divmod(todo, bins)
         source = rows * bins + donor[cols]
         good = filled[source]
-        # the attempt is part of the borrowed value's place, not of the value: equal sets stay equal
         out[todo[good]] = out[source[good]]
         todo = todo[~good]
     return out.reshape(n, bins)
 
 
-def band_keys(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, key: one bucket key per band. `sets` has id and words (no empty list)."""
+def band_keys(flat: np.ndarray, owner: np.ndarray, n: int, bands: int, rows: int, seed: int) -> np.ndarray:
+    """One row per set and one bucket key per band."""
+    bins = densified(flat, owner, n, bands * rows)
+    key = np.full((n, bands), seed, np.uint64)
+    for r in range(rows):
+        key = _mix(key * np.uint64(31) + bins[:, r * bands : (r + 1) * bands])
+    return _mix(key + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 2000):
-                part = batch.iloc[start : start + 2000]
-                bins = densified([np.asarray(w, np.int64) for w in part["words"]], bands * rows)
-                key = np.zeros((len(part), bands), np.uint64)
-                for r in range(rows):
-                    key = _mix(key * np.uint64(31) + bins[:, r * bands : (r + 1) * bands])
-                key = _mix(key + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
-                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(np.int64), bands), "key": key.ravel().view(np.int64)})
 
-    return sets.select("id", "words").mapInPandas(make, "id long, key long")
+def _rank(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The order in which the members of a bucket become centres: another one in every bucket."""
+    return _mix(_mix(ids.view(np.uint64)) ^ keys.view(np.uint64))
+
 
+def common_words(sets: DataFrame) -> np.ndarray:
+    """Sorted hashes of the words in more than COMMON of the texts; at most (words a text) / COMMON."""
+    n = sets.count()
+    found = sets.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") > COMMON * n).collect()
+    return np.sort(np.array([r["w"] for r in found], np.int64))
 
-def star_candidates(keys: DataFrame) -> DataFrame:
-    """a, b (a < b): each member of a bucket with each of its centres, once."""
-    # a centre is the member with the least hash of id and bucket: another hash for each centre and bucket
-    picks = [F.min(F.struct(F.xxhash64(F.lit(i), "key", "id"), "id")).alias(f"c{i}") for i in range(CENTRES)]
-    centres = keys.groupBy("key").agg(F.count("*").alias("n"), *picks).where("n > 1").select("key", F.array_distinct(F.array(*[F.col(f"c{i}.id") for i in range(CENTRES)])).alias("centres"))
-    pairs = keys.join(centres, "key").select("id", F.explode("centres").alias("centre")).where("id <> centre")
-    return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
+def star_candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b (a < b): each member of a bucket with each of its centres, once. `sets` has id and words."""
+    stop = sets.sparkSession.sparkContext.broadcast(common_words(sets))
 
-def near_links(sets: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """a, b: links between near word sets of different classes."""
-    return verified(star_candidates(band_keys(sets, bands, rows)), sets, threshold)
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common = stop.value
+        for batch in batches:
+            for start in range(0, len(batch), 4096):
+                part = batch.iloc[start : start + 4096]
+                ids = part["id"].to_numpy(np.int64)
+                size = part["words"].str.len().to_numpy(np.int64)
+                flat, owner = np.concatenate(part["words"].to_list()).astype(np.int64), np.repeat(np.arange(len(part)), size)
+                other = ~np.isin(flat, common)
+                left = np.bincount(owner[other], minlength=len(part))
+                keys, owners = [], []
+                # a text near one with fewer than LEAST other words has at most so many itself
+                for chosen, kept, (bands, rows), seed in ((left >= LEAST, other, (BANDS, ROWS), 1), (left < LEAST + size * (1 - threshold), np.ones(len(flat), bool), WHOLE, 2)):
+                    n = int(chosen.sum())
+                    if n:
+                        number = np.cumsum(chosen) - 1
+                        take = kept & chosen[owner]
+                        k = band_keys(flat[take], number[owner[take]], n, bands, rows, seed)
+                        keys.append(k.ravel().view(np.int64))
+                        owners.append(np.repeat(ids[chosen], bands))
+                if not keys:
+                    continue
+                key, owner = np.concatenate(keys), np.concatenate(owners)
+                order = np.lexsort((_rank(key, owner), key))
+                key, owner = key[order], owner[order]
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                length = np.diff(np.r_[first, len(key)])
+                run = np.repeat(np.arange(len(first)), length)
+                inside = np.arange(len(key)) - first[run]
+                stays = (length[run] < FULL) | (inside < CENTRES)
+                yield pd.DataFrame({"key": key[stays], "id": owner[stays], "mate": pd.array([pd.NA] * int(stays.sum()), "Int64")})
+                leave = np.flatnonzero(~stays)
+                for c in range(CENTRES):
+                    if len(leave):
+                        yield pd.DataFrame({"key": key[leave], "id": owner[leave], "mate": pd.array(owner[first[run[leave]] + c], "Int64")})
+
+    def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come by key and rank: the first CENTRES of a key are its centres
+        last: int | None = None
+        centres: list[int] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            made = batch["mate"].notna().to_numpy()
+            if made.any():
+                yield pd.DataFrame({"x": batch["id"].to_numpy()[made], "y": batch["mate"].to_numpy()[made].astype(np.int64)})
+            key, owner = batch["key"].to_numpy()[~made], batch["id"].to_numpy()[~made]
+            if not len(key):
+                continue
+            if last is not None and key[0] == last:
+                key, owner = np.r_[np.full(len(centres), last, np.int64), key], np.r_[np.array(centres, np.int64), owner]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            length = np.diff(np.r_[first, len(key)])
+            run = np.repeat(np.arange(len(first)), length)
+            inside = np.arange(len(key)) - first[run]
+            for c in range(CENTRES):
+                at = np.flatnonzero(inside > c)
+                if len(at):
+                    yield pd.DataFrame({"x": owner[at], "y": owner[first[run[at]] + c]})
+            last = int(key[-1])
+            centres = owner[first[-1] : first[-1] + CENTRES].tolist()
+
+    rows = sets.select("id", "words").mapInPandas(keyed, "key long, id long, mate long")
+    ranked = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "id")).mapInPandas(stars, "x long, y long")
+    return ranked.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b: links between near word sets of different classes.
+
+    Sixteen bits of each word sift the candidates first, with room for words that fall together; what is left is
+    tested exactly.
+    """
+    short = sets.select("id", F.size("words").alias("n"), F.transform("words", lambda w: (w.bitwiseAND(F.lit(0xFFFF)) - 32768).cast("smallint")).alias("s"))
+    left = short.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
+    right = short.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+    both = star_candidates(sets, threshold).join(left, "a").join(right, "b")
+    size = F.col("na") + F.col("nb")
+    shared = F.size(F.array_intersect("sa", "sb")) + 3 + F.least("na", "nb") * F.greatest("na", "nb") / 30_000
+    sifted = written(both.where((F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (shared >= (size - shared) * threshold)).select("a", "b"))
+    named = sifted.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return verified(sifted, sets.join(named, "id", "left_semi"), threshold)
 
 
 def near_groups(df: DataFrame, key: Column, text: Column, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """id, group, links: the rows that belong to a group of at least two; group is the smallest key in it.
 
     links counts the near classes of other words that were linked with the row's class. Null, empty and short
-    texts (fewer than `min_words` distinct words) belong to no group. Repeated rows of one key count once.
+    texts (fewer than `min_words` distinct words) belong to no group. `key` names a row; a row that is repeated
+    with its key counts once.
     """
-    worded = with_words(df, key, text, min_words=min_words)
-    sets = checkpoint(classes(worded))
-    links = checkpoint(near_links(sets, threshold))
+    worded = with_words(df.where(key.isNotNull()), key, text, min_words=min_words)
+    hashed = worded.select("id", "h1", "h2")
+    copied = hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    # copies alone are named: nearly every text is its class
+    members = written(hashed.join(copied.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep").distinct())
+    sets = worded.join(members.where("id <> rep").select("id"), "id", "left_anti").select("id", "words")
+    links = written(near_links(sets, threshold))
     joined = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
-    named = (
-        sets.select("h1", "h2", "id").join(joined, "id", "left").join(degree, "id", "left")
-        .select("h1", "h2", F.coalesce("component", "id").alias("group"), F.coalesce("count", F.lit(0)).alias("links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
+    nodes = joined.select(F.col("id").alias("rep"), "component").join(degree, "rep").select("rep", F.col("component").alias("group"), F.col("count").alias("links"))
+    copies = members.where("id <> rep").join(nodes, "rep", "left").select("id", F.coalesce("group", "rep").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+    alone = members.where("id = rep").join(nodes.select("rep"), "rep", "left_anti").join(members.where("id <> rep").select("rep").distinct(), "rep", "left_semi")
+    return (
+        nodes.select(F.col("rep").alias("id"), "group", "links")
+        .unionByName(copies)
+        .unionByName(alone.select("id", F.col("rep").alias("group"), F.lit(0).cast("long").alias("links")))
     )
-    members = worded.select("id", "h1", "h2").distinct().join(named, ["h1", "h2"]).select("id", "group", "links")
-    large = members.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    return members.join(large, "group").select("id", "group", "links")
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:
