@@ -186,7 +186,8 @@ def near_groups(df: DataFrame, key: Column, text: Column, threshold: float = THR
     texts (fewer than `min_words` distinct words) belong to no group. `key` names a row; a row that is repeated
     with its key counts once.
     """
-    worded = with_words(df.where(key.isNotNull()), key, text, min_words=min_words)
+    # written once: every later step reads the columns it needs, and texts are cut into words a single time
+    worded = written(with_words(df.where(key.isNotNull()), key, text, min_words=min_words))
     hashed = worded.select("id", "h1", "h2")
     copied = hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     # copies alone are named: nearly every text is its class
