@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import written
 from .sets import MIN_WORDS, THRESHOLD, classes, least_shared, verified, with_words
 
 #: n, and the sizes (distinct words, above and up to) of the larger text of a pair that it is for.
@@ -125,8 +126,9 @@ def overlap_pairs(rows: DataFrame, threshold: float = THRESHOLD, min_words: int
     Null and blank captions are near nothing, and missing sounds equal nothing. Captions with fewer than
     `min_words` distinct words are near nothing. Each pair comes once, repeated rows pair each on their own.
     """
-    worded = with_words(rows, F.col("id"), F.col("text"), F.col("side"), min_words=min_words)
-    reps = classes(worded, F.max(F.col("side") == "eval").alias("has_eval"), F.max(F.col("side") == "train").alias("has_train"))
+    # written once: several steps read them, and texts are cut into words a single time
+    worded = written(with_words(rows, F.col("id"), F.col("text"), F.col("side"), min_words=min_words))
+    reps = written(classes(worded, F.max(F.col("side") == "eval").alias("has_eval"), F.max(F.col("side") == "train").alias("has_train")))
     frequency = common_words(reps)
     found = near_across(reps.where("has_eval"), reps.where("has_train"), frequency, threshold).select("a", "b")
     names = reps.select("h1", "h2", F.col("id").alias("class"))
