@@ -31,6 +31,11 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(col(text), r"^[\s ]+|[\s ]+$", "")
 
 
+def filled(text: Column | str) -> Column:
+    """Whether there is more than white space; false for null."""
+    return F.coalesce(col(text).rlike(r"[^\s\u00a0]"), F.lit(False))
+
+
 def squash(text: Column | str) -> Column:
     """Lower-cased, with runs of white space as one blank: the lookup key of a caption."""
     return F.lower(F.trim(F.regexp_replace(col(text), r"\s+", " ")))

@@ -44,8 +44,8 @@ def affine01(c: Column | str) -> Column:
 
 
 def mos01(c: Column | str) -> Column:
-    """A raw rating score mapped to 0..1 and clamped."""
-    return F.least(F.greatest((col(c) * 5.0 + 5.0) / 10.0, F.lit(0.0)), F.lit(1.0))
+    """A raw rating score mapped to 0..1 and clamped; null stays null."""
+    return F.when(col(c).isNotNull(), F.least(F.greatest((col(c) * 5.0 + 5.0) / 10.0, F.lit(0.0)), F.lit(1.0)))
 
 
 def pad(v: Column | str, n: int) -> Column:
