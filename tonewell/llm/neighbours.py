@@ -176,8 +176,10 @@ def _windows(least: float):
             cuts = [0, *(np.flatnonzero(named[1:] != named[:-1]) + 1).tolist(), len(ids)]
             for a, b in zip(cuts, cuts[1:]):
                 if named[a] != run:
-                    if waiting:
-                        yield from compare(window())
+                    while waiting:
+                        now = window()
+                        yield from compare(now)
+                        last = now
                     run, last, held, waiting = named[a], None, [], 0
                 held.append((ids[a:b], x[a:b]))
                 waiting += b - a
