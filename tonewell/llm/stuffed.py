@@ -40,7 +40,8 @@ WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"\S.*?[.!?…。！？؟।]+[\"'»”’)\]]*(?=\s|$)|\S.*$")
 CLOSED = re.compile(r"[.!?…。！？؟।][\"'»”’)\]]*$")
 CODE = re.compile(r"^\s*(?:def |class |return\b|import |from \w+ import|for .*:$|if .*:$|else:|while .*:$|\w[\w.]*\s*[-+*/]?=\s|\w[\w.]*\(.*\)\s*;?$|[{}\[\]();]+,?$|//|/\*|\$ |>>> |<\?|select .* from )", re.I)
-DATA = re.compile(r"^\s*(?:[{\[].*[:,].*[}\]],?$|\"?\w+\"?\s*:\s*[\d\"\[{].*$|(?:[^,\t|]*\d[^,\t|]*[,\t|]){3,}[^,\t|]*$)")
+RECORD = re.compile(r"^\s*(?:[{\[].*[:,].*[}\]],?$|\"?\w+\"?\s*:\s*[\d\"\[{].*$)")
+NUMBER = re.compile(r"\s*\"?[-+]?\d[\d.:]*\"?\s*")
 BULLET = re.compile(r"^\s*(?:[-*•>]+|\d+[.)]|\[[\d:]+\]|#+(?=\s))\s*")
 LINK = ""
 
@@ -80,6 +81,14 @@ def kind_of(segment: str) -> str:
     return "open"
 
 
+def is_data(line: str) -> bool:
+    """A JSON record, or a row of at least four cells of which two in five are numbers."""
+    if RECORD.search(line):
+        return True
+    cells = re.split(r"[,\t|]", line)
+    return len(cells) >= 4 and sum(bool(NUMBER.fullmatch(c)) for c in cells) * 5 >= 2 * len(cells)
+
+
 def segments(text: str) -> Iterator[tuple[str, str]]:
     """Kind and text of each segment; code and data lines come whole."""
     code = False
@@ -92,7 +101,7 @@ def segments(text: str) -> Iterator[tuple[str, str]]:
             yield "code", line
             continue
         code = False
-        if DATA.search(line) and LINK not in line:
+        if LINK not in line and is_data(line):
             yield "code", line
             continue
         lead = BULLET.match(line)
