@@ -18,7 +18,7 @@ from ..functions.text import clip_of_key, stem
 
 __all__ = [
     "alias", "audio_files", "blacklist", "caption_csv", "captions_long", "captions_wide", "encode_rows", "hard_negative_captions", "intent_queries_flat",
-    "intent_queries_grouped", "keyed_vectors", "manifest_json", "mecat", "negative_queries", "neighbour_records", "ratings", "sample_manifest", "skip_list", "split_entries", "vector_bundle",
+    "intent_queries_grouped", "keyed_vectors", "manifest_json", "mecat", "negative_queries", "neighbour_records", "one_caption", "ratings", "sample_manifest", "skip_list", "split_entries", "token_archives", "training_entries", "vector_bundle",
 ]
 
 
@@ -72,6 +72,34 @@ def split_entries(captions: DataFrame, dataset: str, split: str, order: str) ->
     return captions.withColumn("entry_id", F.format_string(f"{dataset}_{split}_%04d", index.cast("int")))
 
 
+def one_caption(captions: DataFrame, index: int = 1) -> DataFrame:
+    """clip_id, caption: the caption with that number (1 to 5) of each clip that has it."""
+    if not 1 <= index <= 5:
+        raise ValueError(f"caption index {index}")
+    return captions.select("clip_id", F.try_element_at("captions", F.lit(index)).alias("caption")).where(F.col("caption").isNotNull())
+
+
+def training_entries(captions: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
+    """clip_id, caption, caption_key, audio_path: one row per caption of the clips that have an audio file.
+
+    Captions are numbered before clips without a file are dropped.
+    """
+    rows = captions.select("clip_id", F.posexplode("captions").alias("n", "caption")).withColumn("caption_key", F.format_string("%s_caption_%02d", "clip_id", "n"))
+    there = files.select(stem(path).alias("clip_id"), F.col(path).alias("audio_path")).groupBy("clip_id").agg(F.min("audio_path").alias("audio_path"))
+    return rows.join(there, "clip_id").select("clip_id", "caption", "caption_key", "audio_path")
+
+
+def token_archives(df: DataFrame, clip: str = "clip_id", path: str = "path") -> DataFrame:
+    """alias, and the columns of each archive under every name it answers to: clip id, path stem, and both joined.
+
+    A name that several archives answer to belongs to the first by path.
+    """
+    names = F.array_distinct(F.filter(F.array(F.col(clip), stem(path), F.concat_ws("_", clip, stem(path))), lambda n: n.isNotNull()))
+    rows = df.select(F.explode(names).alias("alias"), F.struct(*df.columns).alias("_r"))
+    first = rows.groupBy("alias").agg(F.min_by("_r", F.col(f"_r.{path}")).alias("_r"))
+    return first.select("alias", *[F.col("_r")[c].alias(c) for c in df.columns])
+
+
 def mecat(spark: SparkSession, folder: str) -> DataFrame:
     """clip_id, captions of a folder of JSON files; the text `none` is no caption."""
     df = spark.read.schema("short array<string>").option("multiLine", True).json(folder).withColumn("clip_id", stem(F.input_file_name()))
