@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "a an the and or but nor so as at by for from in into of off on onto over under up with without near next beside behind across along inside before after then than while when where who which that this these those there here it its he she they we you i his her their our your my is are was were be been being has have had do does did can could will would shall should may might must not no yes if because until too very more most some any each both what how why to only also just about every nobody somebody".split(),
@@ -49,8 +51,6 @@ LINK = ""
 TRUE_SENTENCE = 0.22
 #: Deviations below the mean ratio from which a block is extremely redundant.
 EXTREME = 2.5
-#: True sentences per word under which the density of closing marks is low.
-LOW_DENSITY = 0.02
 MOST = 0.5
 BLOCK = 1500
 #: Words and links that a text must have in stuffed blocks, the length of the shortest list that is one.
@@ -113,17 +113,14 @@ def segments(text: str) -> Iterator[tuple[str, str]]:
 
 
 def blocks(text: str) -> list[tuple[str, str, int]]:
-    """Kind, text and number of true sentences of each block: segments of like kind on end, up to BLOCK characters."""
+    """Kind, text and number of true sentences of each block: segments of one kind on end, up to BLOCK characters."""
     out: list[tuple[str, list[str], int]] = []
     size = 0
     for kind, s in segments(text):
-        group = {"true": "closed", "thin": "closed"}.get(kind, kind)
-        # closed segments part where true sentences meet thin ones
-        name = kind if group == "closed" else group
-        if out and out[-1][0] == name and size < BLOCK:
+        if out and out[-1][0] == kind and size < BLOCK:
             out[-1][1].append(s)
         else:
-            out.append((name, [s], 0))
+            out.append((kind, [s], 0))
             size = 0
         size += len(s)
     return [(k, "\n".join(v), len(v) if k == "true" else 0) for k, v, _ in out]
@@ -150,67 +147,59 @@ def bucket(block: str) -> int:
     return int(2 * math.log2(max(1, len(block))))
 
 
-def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sums: dict[tuple[str, int], list[float]] = {}
-    for batch in batches:
-        for text in batch["text"]:
-            lang = language(text)
-            for _, b, _ in blocks(text):
-                r = ratio(b)
-                s = sums.setdefault((lang, bucket(b)), [0, 0.0, 0.0])
-                s[0] += 1
-                s[1] += r
-                s[2] += r * r
-    if sums:
-        yield pd.DataFrame([(k[0], k[1], int(v[0]), v[1], v[2]) for k, v in sums.items()], columns=["lang", "bucket", "n", "s", "q"])
-
-
-def stuffed_share(text: str, expected: dict[tuple[str, int], tuple[float, float]]) -> float:
-    """The part of a text's characters, without spaces at line ends, that lies in stuffed blocks."""
-    lang = language(text)
+FEATURES = "key {key}, lang string, total long, bad long, items long, buckets array<int>, ratios array<double>, thin array<struct<bucket:int,ratio:double,size:long,words:long,again:boolean>>"
+
+
+def features(text: str) -> tuple:
+    """What one reading of a text gives: sizes, items, ratios of its blocks, and the blocks of thin sentences."""
     total = bad = items = 0
-    for kind, b, n in blocks(text):
+    buckets, ratios, thin = [], [], []
+    for kind, b, _ in blocks(text):
         total += len(b)
-        if kind in ("code", "true"):
-            continue
+        buckets.append(bucket(b))
+        ratios.append(ratio(b))
         if kind in ("link", "open"):
             bad += len(b)
             items += len(re.findall(LINK + "+", b)) * 3 + sum(any(c.isalpha() for c in w) for w in WORD.findall(b))
-            continue
-        mean, deviation = expected.get((lang, bucket(b)), (ratio(b), 1.0))
-        redundant = ratio(b) < mean - EXTREME * deviation
-        # short blocks of thin sentences that say one word again are told by that word
-        words = WORD.findall(b.lower())
-        lines = [set(WORD.findall(x.lower())) for x in b.split("\n")]
-        again = len(lines) >= 3 and any(sum(w in x for x in lines) >= 0.7 * len(lines) for w in set(words) - ALL_FUNCTION_WORDS)
-        if (redundant or again) and n / max(1, len(words)) < LOW_DENSITY:
-            bad += len(b)
-            items += len(words)
-    return bad / total if total and items >= LEAST_ITEMS else 0.0
+        elif kind == "thin":
+            words = WORD.findall(b.lower())
+            lines = [set(WORD.findall(x.lower())) for x in b.split("\n")]
+            # short blocks of thin sentences that say one word again are told by that word
+            again = len(lines) >= 3 and any(sum(w in x for x in lines) >= 0.7 * len(lines) for w in set(words) - ALL_FUNCTION_WORDS)
+            thin.append({"bucket": buckets[-1], "ratio": ratios[-1], "size": len(b), "words": len(words), "again": again})
+    return language(text), total, bad, items, buckets, ratios, thin
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["lang", "total", "bad", "items", "buckets", "ratios", "thin"]
+    for batch in batches:
+        for start in range(0, len(batch), 1000):
+            part = batch.iloc[start : start + 1000]
+            made = pd.DataFrame([features(t) for t in part["text"]], columns=names)
+            made.insert(0, "key", part["key"].to_numpy())
+            yield made
 
 
-def expected_ratios(texts: DataFrame) -> dict[tuple[str, int], tuple[float, float]]:
-    """Mean and deviation of the ratio by language and length class; at most (languages + 1) x about 60 rows."""
-    sums = texts.select("text").mapInPandas(_profile, "lang string, bucket int, n long, s double, q double")
-    rows = sums.groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect()
-    made = {}
-    for r in rows:
-        mean = r["s"] / r["n"]
-        made[r["lang"], r["bucket"]] = (mean, max(0.01, math.sqrt(max(0.0, r["q"] / r["n"] - mean * mean))))
-    return made
+def lowest_ratios(read: DataFrame) -> dict[str, float]:
+    """By `language/length class`, the ratio below which a block is extremely redundant; a few hundred entries at most."""
+    one = read.select("lang", F.explode(F.arrays_zip("buckets", "ratios")).alias("b")).select("lang", F.col("b.buckets").alias("bucket"), F.col("b.ratios").alias("r"))
+    rows = one.groupBy("lang", "bucket").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("deviation")).collect()
+    return {f"{r['lang']}/{r['bucket']}": r["mean"] - EXTREME * max(0.01, r["deviation"]) for r in rows}
 
 
 def stuffed(df: DataFrame, key: str, text: str) -> DataFrame:
     """`key`, share: every row with the part of its text that is keywords, links or product tags.
 
-    Null, empty and blank texts have share 0. Whole texts are read, however long they are.
+    Null, empty and blank texts have share 0. Whole texts are read, however long they are, and once: what a text
+    gives is written, the corpus statistics and the verdict come from that.
     """
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    expected = expected_ratios(rows)
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "share": [stuffed_share(t, expected) for t in batch["text"]]})
-
-    kind = df.schema[key].dataType.simpleString()
-    return rows.mapInPandas(make, f"key {kind}, share double").withColumnRenamed("key", key)
+    read = written(rows.mapInPandas(_read, FEATURES.format(key=df.schema[key].dataType.simpleString())))
+    lowest = lowest_ratios(read)
+    table = F.create_map(*[F.lit(x) for kv in lowest.items() for x in kv]) if lowest else F.lit(None).cast("map<string,double>")
+    # a thin block has no true sentence, so its density of closing marks is below any bound
+    redundant = F.filter("thin", lambda b: b["again"] | (b["ratio"] < F.coalesce(F.try_element_at(table, F.concat_ws("/", "lang", b["bucket"].cast("string"))), F.lit(0.0))))
+    size = F.col("bad") + F.aggregate(redundant, F.lit(0).cast("long"), lambda a, b: a + b["size"])
+    items = F.col("items") + F.aggregate(redundant, F.lit(0).cast("long"), lambda a, b: a + b["words"])
+    share = F.when((F.col("total") > 0) & (items >= LEAST_ITEMS), size / F.greatest("total", F.lit(1))).otherwise(F.lit(0.0))
+    return read.select(F.col("key").alias(key), share.alias("share"))
