@@ -34,6 +34,19 @@ FUNCTION_WORDS = {
 }
 LANGUAGE_OF = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 ALL_FUNCTION_WORDS = frozenset(w for v in FUNCTION_WORDS.values() for w in v)
+_NAMES = tuple(LANGUAGE_OF)
+#: The languages, by number, that a function word belongs to.
+_OF_WORD = {w: tuple(i for i, k in enumerate(_NAMES) if w in LANGUAGE_OF[k]) for w in ALL_FUNCTION_WORDS}
+
+
+def function_counts(words: list[str]) -> list[int]:
+    """How many of the words are function words of each language."""
+    counts = [0] * len(_NAMES)
+    for w in words:
+        for i in _OF_WORD.get(w, ()):
+            counts[i] += 1
+    return counts
+
 
 URL = re.compile(r"(?:https?://|ftp://|www\.)[^\s<>\"')\]]+", re.I)
 TAG = re.compile(r"</?[a-z][^<>]{0,200}>", re.I)
@@ -59,6 +72,8 @@ LEAST_ITEMS = 10
 
 def _linked(text: str) -> str:
     """Addresses, with markup around them, replaced by as many marks, which no other rule touches; other markup by spaces."""
+    if "<" not in text and ":" not in text and "www." not in text.lower():
+        return text
     return TAG.sub(lambda m: (LINK if LINK in m[0] else " ") * len(m[0]), URL.sub(lambda m: LINK * len(m[0]), text))
 
 
@@ -69,9 +84,11 @@ def kind_of(segment: str) -> str:
     words = WORD.findall(segment.replace(LINK, " ").lower())
     if not words:
         return "open"
-    share = max(sum(w in known for w in words) for known in LANGUAGE_OF.values()) / len(words)
-    letters = [c for c in segment if c.isalpha()]
-    foreign = sum(ord(c) > 0x24F for c in letters) * 2 > len(letters)
+    share = max(function_counts(words)) / len(words)
+    foreign = False
+    if not segment.isascii():
+        letters = [c for c in segment if c.isalpha()]
+        foreign = sum(ord(c) > 0x24F for c in letters) * 2 > len(letters)
     tags = segment.count("#") * 2 >= len(words)
     if CLOSED.search(segment):
         return "true" if foreign or (share >= TRUE_SENTENCE and len(words) >= 3) else "thin"
@@ -128,13 +145,9 @@ def blocks(text: str) -> list[tuple[str, str, int]]:
 
 def language(text: str) -> str:
     """The language whose function words are most frequent, or 'other'."""
-    words = WORD.findall(text.lower())[:400]
-    best, most = "other", 0
-    for name, known in LANGUAGE_OF.items():
-        n = sum(w in known for w in words)
-        if n > most:
-            best, most = name, n
-    return best
+    counts = function_counts(WORD.findall(text.lower()))
+    most = max(counts)
+    return _NAMES[counts.index(most)] if most else "other"
 
 
 def ratio(block: str) -> float:
