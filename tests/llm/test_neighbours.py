@@ -69,3 +69,12 @@ def test_windows_longer_than_a_block(spark):
     rows = [(2 * i, "a", v) for i, v in enumerate(base)] + [(2 * i + 1, "a", v + 0.001 * rng.standard_normal(8)) for i, v in enumerate(base)]
     pairs = {(r.id_a, r.id_b) for r in N.similar_pairs(N.similar_vectors(table(spark, rows), k=1, least=0.99, dim=8)).collect()}
     assert sum((2 * i, 2 * i + 1) in pairs for i in range(1500)) >= 1495
+
+
+def test_crowds_of_rescaled_and_near_copies(spark):
+    rng = np.random.default_rng(8)
+    base, other = rng.standard_normal(16), rng.standard_normal(16)
+    rows = [(i, "a", base * s) for i, s in enumerate(rng.uniform(0.5, 3.0, 60))]  # one direction: equal cosines, smaller keys first
+    rows += [(100 + i, "a", other + 0.003 * rng.standard_normal(16)) for i in range(60)]  # nearer than bytes can tell
+    want = brute(rows, 5, 0.85, 16)
+    assert got(N.similar_vectors(table(spark, rows), k=5, least=0.85, dim=16)) == want

@@ -3,9 +3,14 @@
 Every usable vector is projected to `DIMS` directions, each spread evenly over the cells of a grid, and put on
 `ORDERINGS` Hilbert curves; each ordering turns and shifts the projection anew. Rows of an ordering are range
 partitioned by their place on the curve, and a window of `WINDOW` rows is compared with itself and the next
-one in one matrix product. A row keeps its best `KEEP` partners of a window; the partners of all orderings
-merge, and exact double precision cosines rank them again. To spare the shuffle, rows travel as one byte per
-part; the bytes decide only which pairs are computed exactly.
+one in one matrix product. To spare the shuffle, rows travel as one byte per part; the bytes decide only which
+pairs are computed exactly. A row keeps all its partners of a window up to `KEEP`; the partners of all orderings
+merge, and exact double precision cosines rank them again.
+
+A row with more partners than that is crowded: bytes cannot tell which of them are the best. A pair is in
+question only if both its rows are crowded, for the other one keeps it otherwise. Crowded rows are therefore
+searched once more among themselves, with whole vectors and double precision, in windows of `CROWD` rows; up to
+two windows of crowded rows in a bundle this compares all of them.
 
 Vectors that repeat exactly are one class, searched once, however many there are.
 """
@@ -27,11 +32,15 @@ DIMS = 8
 BITS = 4
 WINDOW = 1024
 KEEP = 12
+#: Rows of a window in the search among crowded rows, and rows of it that are compared at once.
+CROWD = 16_384
+SLICE = 256
 #: A cosine from bytes is off by less than this.
 SLACK = 0.006
 #: Vectors that a spread is fitted on at most; every row is indexed.
 FIT_ROWS = 100_000
 SEED = 7
+FOUND = "src long, dst long, score double"
 
 
 def hilbert_place(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -98,8 +107,8 @@ def _spread(vectors: DataFrame, turns: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mean, np.sqrt(np.maximum(q / n - mean * mean, 1e-12))
 
 
-def _placed(vectors: DataFrame, orderings: int, dim: int) -> DataFrame:
-    """bundle, ordering, place, vec_id, code: each vector once for each ordering."""
+def _placed(vectors: DataFrame, orderings: int, dim: int, whole: bool = False) -> DataFrame:
+    """bundle, ordering, place, vec_id, code: each vector once for each ordering; code is bytes, or `whole` floats."""
     turns, shifts = _turns(dim, orderings)
     mean, deviation = _spread(vectors, turns)
     width = turns.shape[1] // orderings
@@ -109,8 +118,10 @@ def _placed(vectors: DataFrame, orderings: int, dim: int) -> DataFrame:
             for start in range(0, len(batch), 4096):
                 part = batch.iloc[start : start + 4096]
                 x = _unit(part["embedding"])
-                code = np.rint(x * (127.0 / np.abs(x).max(1, keepdims=True))).astype(np.int8)
-                codes = [c.tobytes() for c in code]
+                if whole:
+                    codes = [np.asarray(v, np.float32).tobytes() for v in part["embedding"]]
+                else:
+                    codes = [c.tobytes() for c in np.rint(x * (127.0 / np.abs(x).max(1, keepdims=True))).astype(np.int8)]
                 even = 1.0 / (1.0 + np.exp(-1.702 * ((x @ turns - mean) / deviation)))
                 cells = np.minimum((even * 0.75 + shifts) * (1 << BITS), (1 << BITS) - 1).astype(np.uint32)
                 for o in range(orderings):
@@ -120,29 +131,58 @@ def _placed(vectors: DataFrame, orderings: int, dim: int) -> DataFrame:
     return vectors.mapInPandas(make, "bundle string, ordering int, place long, vec_id long, code binary")
 
 
-def _windows(least: float):
-    """Candidates of neighbouring windows along the curves; rows come sorted by bundle, ordering and place."""
+def _by_bytes(least: float, keep: int):
+    """Partners from bytes: all that reach the least cosine, or of a crowded row the best `keep` and the row itself as a mark."""
 
-    def best(score: np.ndarray, rows: np.ndarray, columns: np.ndarray, keep: np.ndarray | None) -> Iterator[pd.DataFrame]:
-        """The KEEP best columns of every row, as far as they reach the least cosine."""
+    def best(x: np.ndarray, rows: np.ndarray, y: np.ndarray, columns: np.ndarray) -> Iterator[pd.DataFrame]:
+        score = x @ y.T
+        if rows is columns:
+            np.fill_diagonal(score, -2.0)
         ok = score >= least
-        if keep is not None:
-            ok &= keep
         count = ok.sum(1)
-        r, c = np.nonzero(ok[count <= KEEP])
-        few = np.flatnonzero(count <= KEEP)
+        r, c = np.nonzero(ok[count <= keep])
+        few = np.flatnonzero(count <= keep)
         src, dst, val = [rows[few[r]]], [columns[c]], [score[few[r], c]]
-        many = np.flatnonzero(count > KEEP)
+        many = np.flatnonzero(count > keep)
         if len(many):
             s = np.where(ok[many], score[many], -2.0)
-            top = np.argpartition(-s, KEEP - 1, axis=1)[:, :KEEP]
-            src.append(np.repeat(rows[many], KEEP))
-            dst.append(columns[top].ravel())
-            val.append(np.take_along_axis(s, top, 1).ravel())
-        made = pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "score": np.concatenate(val).astype(np.float32)})
+            top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+            src += [np.repeat(rows[many], keep), rows[many]]
+            dst += [columns[top].ravel(), rows[many]]
+            val += [np.take_along_axis(s, top, 1).ravel(), np.full(len(many), 2.0)]
+        made = pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "score": np.concatenate(val).astype(np.float64)})
         if len(made):
             yield made
 
+    return best
+
+
+def _by_value(least: float, keep: int):
+    """Partners from whole vectors: the best `keep` by cosine, rounded as it is told, then by smaller key."""
+
+    def best(x: np.ndarray, rows: np.ndarray, y: np.ndarray, columns: np.ndarray) -> Iterator[pd.DataFrame]:
+        order = np.argsort(columns)
+        y, named = y[order].T, columns[order]
+        later = np.arange(len(named))[::-1]
+        for start in range(0, len(rows), SLICE):
+            score = np.rint((x[start : start + SLICE] @ y) * 1e6)
+            if rows is columns:
+                score[named[None, :] == rows[start : start + SLICE, None]] = -2e6
+            if len(named) > keep:
+                top = np.argpartition(-(score * len(named) + later), keep - 1, axis=1)[:, :keep]
+            else:
+                top = np.broadcast_to(np.arange(len(named)), score.shape)
+            value = np.take_along_axis(score, top, 1)
+            r, c = np.nonzero(value >= least * 1e6 - 1)
+            if len(r):
+                yield pd.DataFrame({"src": rows[start + r], "dst": named[top[r, c]], "score": value[r, c] / 1e6})
+
+    return best
+
+
+def _windows(best, size: int, part: type):
+    """Candidates of neighbouring windows along the curves; rows come sorted by bundle, ordering and place."""
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the run that are in no window yet
         waiting = 0
@@ -153,24 +193,21 @@ def _windows(least: float):
             nonlocal held, waiting
             ids = np.concatenate([h[0] for h in held])
             x = np.concatenate([h[1] for h in held])
-            held = [(ids[WINDOW:], x[WINDOW:])] if len(ids) > WINDOW else []
-            waiting = max(0, len(ids) - WINDOW)
-            return ids[:WINDOW], x[:WINDOW]
+            held = [(ids[size:], x[size:])] if len(ids) > size else []
+            waiting = max(0, len(ids) - size)
+            return ids[:size], x[:size]
 
         def compare(now: tuple[np.ndarray, np.ndarray]) -> Iterator[pd.DataFrame]:
-            own = now[1] @ now[1].T
-            np.fill_diagonal(own, -2.0)
-            yield from best(own, now[0], now[0], None)
+            yield from best(now[1], now[0], now[1], now[0])
             if last is not None:
-                across = last[1] @ now[1].T
-                yield from best(across, last[0], now[0], None)
-                yield from best(across.T, now[0], last[0], None)
+                yield from best(last[1], last[0], now[1], now[0])
+                yield from best(now[1], now[0], last[1], last[0])
 
         for batch in batches:
             if not len(batch):
                 continue
             ids = batch["vec_id"].to_numpy()
-            x = np.frombuffer(b"".join(batch["code"]), np.int8).reshape(len(ids), -1).astype(np.float32)
+            x = np.frombuffer(b"".join(batch["code"]), part).reshape(len(ids), -1).astype(np.float32 if part is np.int8 else np.float64)
             x /= np.sqrt((x * x).sum(1, keepdims=True))
             named = batch["bundle"].to_numpy() + "/" + batch["ordering"].astype(str).to_numpy()
             cuts = [0, *(np.flatnonzero(named[1:] != named[:-1]) + 1).tolist(), len(ids)]
@@ -183,7 +220,7 @@ def _windows(least: float):
                     run, last, held, waiting = named[a], None, [], 0
                 held.append((ids[a:b], x[a:b]))
                 waiting += b - a
-                while waiting >= 2 * WINDOW:
+                while waiting >= 2 * size:
                     now = window()
                     yield from compare(now)
                     last = now
@@ -195,6 +232,24 @@ def _windows(least: float):
     return make
 
 
+def _within_crowds(crowd: DataFrame, k: int, least: float, dim: int, orderings: int) -> DataFrame | None:
+    """src, dst: the best partners of crowded rows among crowded rows, from whole vectors."""
+    largest = crowd.groupBy("bundle").count().agg(F.max("count")).first()[0]
+    if largest is None:
+        return None
+    # two windows meet in any ordering, so one is enough for them
+    near = (
+        _placed(crowd, 1 if largest <= 2 * CROWD else orderings, dim, whole=True)
+        .repartition("bundle", "ordering")
+        .sortWithinPartitions("bundle", "ordering", "place", "vec_id")
+        .select("bundle", "ordering", "vec_id", "code")
+        .mapInPandas(_windows(_by_value(least, k + 1), CROWD, np.float32), FOUND)
+    )
+    top = Window.partitionBy("src").orderBy(F.desc("score"), F.asc("dst"))
+    merged = near.groupBy("src", "dst").agg(F.max("score").alias("score"))
+    return merged.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).select("src", "dst")
+
+
 def similar_vectors(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = 96, orderings: int = ORDERINGS) -> DataFrame:
     """vec_id, other, cosine, rnk: up to `k` most similar other vectors of the same bundle for every usable vector.
 
@@ -211,17 +266,22 @@ def similar_vectors(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = 9
     members = written(hashed.join(copied, same).select("vec_id", "rep"))
     vectors = rows.join(members.where("vec_id <> rep").select("vec_id"), "vec_id", "left_anti")
 
+    keep = max(KEEP, 2 * k)
     near = (
         _placed(vectors, orderings, dim)
         .repartitionByRange("bundle", "ordering", "place")
         .sortWithinPartitions("bundle", "ordering", "place")
         .select("bundle", "ordering", "vec_id", "code")
-        .mapInPandas(_windows(least - SLACK), "src long, dst long, score float")
+        .mapInPandas(_windows(_by_bytes(least - SLACK, keep), WINDOW, np.int8), FOUND)
     )
-    # merged over the orderings, still directed; of a row in a dense place the best KEEP are enough
-    merged = near.groupBy("src", "dst").agg(F.max("score").alias("score"))
+    # merged over the orderings, still directed; a row that is its own partner is marked as crowded
+    merged = written(near.groupBy("src", "dst").agg(F.max("score").alias("score")))
     top = Window.partitionBy("src").orderBy(F.desc("score"), F.asc("dst"))
-    chosen = merged.withColumn("r", F.row_number().over(top)).where(F.col("r") <= KEEP)
+    chosen = merged.where("src <> dst").withColumn("r", F.row_number().over(top)).where(F.col("r") <= keep).select("src", "dst")
+    crowded = merged.groupBy("src").agg(F.count("*").alias("n"), F.max(F.col("src") == F.col("dst")).alias("marked")).where((F.col("n") > keep) | F.col("marked")).select(F.col("src").alias("vec_id"))
+    inside = _within_crowds(written(vectors.join(crowded, "vec_id", "left_semi")), k, least, dim, orderings)
+    if inside is not None:
+        chosen = chosen.unionByName(inside)
     pairs = chosen.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     left = rows.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"))
     right = rows.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
