@@ -78,3 +78,21 @@ def test_crowds_of_rescaled_and_near_copies(spark):
     rows += [(100 + i, "a", other + 0.003 * rng.standard_normal(16)) for i in range(60)]  # nearer than bytes can tell
     want = brute(rows, 5, 0.85, 16)
     assert got(N.similar_vectors(table(spark, rows), k=5, least=0.85, dim=16)) == want
+
+
+def test_a_third_of_all_rows_in_one_crowd(spark, monkeypatch):
+    monkeypatch.setattr(N, "CROWD", 512)  # six windows of crowded rows, so that they do not all meet
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((6000, 16))
+    x[:2000] = x[0] / np.linalg.norm(x[0]) + 0.03 * rng.standard_normal((2000, 16)) / 4  # cosines of 0.999
+    rows = [(i, "a", v) for i, v in enumerate(x.astype(np.float32))]
+    df = table(spark, rows)
+    placed = N._placed(df.select("vec_id", "bundle", "embedding"), 1, 16).where("vec_id < 2000")
+    assert placed.select("place", "finer").distinct().count() >= 1900
+    have = {h[:2] for h in got(N.similar_vectors(df, k=5, least=0.85, dim=16))}
+    u = x[:2000].astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = np.rint(u @ u.T * 1e6)
+    np.fill_diagonal(c, -1)
+    want = {(i, int(j)) for i, top in enumerate(np.argsort(-c, axis=1, kind="stable")[:, :5]) for j in top}
+    assert len(want & have) >= 0.95 * len(want)

@@ -29,7 +29,8 @@ from ..session import written
 
 ORDERINGS = 8
 DIMS = 8
-BITS = 4
+#: Bits of a direction in each of the two halves of a place: crowds far tighter than the whole are still spread out.
+BITS = 7
 WINDOW = 1024
 KEEP = 12
 #: Rows of a window in the search among crowded rows, and rows of it that are compared at once.
@@ -43,8 +44,8 @@ SEED = 7
 FOUND = "src long, dst long, score double"
 
 
-def hilbert_place(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Place of grid cells (one row each, `bits` bits a column) on the Hilbert curve, as whole numbers.
+def _gray(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Cells (one row each, `bits` bits a column), turned so that their bits, interleaved, are the place on the Hilbert curve.
 
     After J. Skilling, Programming the Hilbert curve (2004): undo the excess turns from the highest bit down,
     Gray-encode, and interleave the bits.
@@ -65,13 +66,23 @@ def hilbert_place(cells: np.ndarray, bits: int) -> np.ndarray:
     for bit in range(bits - 1, 0, -1):
         flip ^= np.where((x[n - 1] >> np.uint32(bit)) & np.uint32(1), np.uint32((1 << bit) - 1), np.uint32(0))
     x ^= flip
-    place = np.zeros(len(flip), np.int64)
-    for bit in range(bits - 1, -1, -1):
-        for i in range(n):
-            place = (place << 1) | ((x[i] >> np.uint32(bit)) & np.uint32(1)).astype(np.int64)
+    return x
+
+
+def _interleaved(x: np.ndarray, high: int, low: int) -> np.ndarray:
+    """The bits from `high` (not with it) down to `low` of all columns, as whole numbers."""
+    place = np.zeros(x.shape[1], np.int64)
+    for bit in range(high - 1, low - 1, -1):
+        for column in x:
+            place = (place << 1) | ((column >> np.uint32(bit)) & np.uint32(1)).astype(np.int64)
     return place
 
 
+def hilbert_place(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Place of grid cells (one row each, `bits` bits a column) on the Hilbert curve, as whole numbers."""
+    return _interleaved(_gray(cells, bits), bits, 0)
+
+
 def _turns(dim: int, orderings: int) -> tuple[np.ndarray, np.ndarray]:
     """Orthogonal directions (dim x orderings * DIMS) and shifts of the orderings."""
     rng = np.random.default_rng(SEED)
@@ -108,7 +119,7 @@ def _spread(vectors: DataFrame, turns: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _placed(vectors: DataFrame, orderings: int, dim: int, whole: bool = False) -> DataFrame:
-    """bundle, ordering, place, vec_id, code: each vector once for each ordering; code is bytes, or `whole` floats."""
+    """bundle, ordering, place and its finer half, vec_id, code: each vector once for each ordering; code is bytes, or `whole` floats."""
     turns, shifts = _turns(dim, orderings)
     mean, deviation = _spread(vectors, turns)
     width = turns.shape[1] // orderings
@@ -123,12 +134,12 @@ def _placed(vectors: DataFrame, orderings: int, dim: int, whole: bool = False) -
                 else:
                     codes = [c.tobytes() for c in np.rint(x * (127.0 / np.abs(x).max(1, keepdims=True))).astype(np.int8)]
                 even = 1.0 / (1.0 + np.exp(-1.702 * ((x @ turns - mean) / deviation)))
-                cells = np.minimum((even * 0.75 + shifts) * (1 << BITS), (1 << BITS) - 1).astype(np.uint32)
+                cells = np.minimum((even * 0.75 + shifts) * (1 << 2 * BITS), (1 << 2 * BITS) - 1).astype(np.uint32)
                 for o in range(orderings):
-                    place = hilbert_place(cells[:, o * width : (o + 1) * width], BITS)
-                    yield pd.DataFrame({"bundle": part["bundle"].to_numpy(), "ordering": np.full(len(part), o, np.int32), "place": place, "vec_id": part["vec_id"].to_numpy(), "code": codes})
+                    x = _gray(cells[:, o * width : (o + 1) * width], 2 * BITS)
+                    yield pd.DataFrame({"bundle": part["bundle"].to_numpy(), "ordering": np.full(len(part), o, np.int32), "place": _interleaved(x, 2 * BITS, BITS), "finer": _interleaved(x, BITS, 0), "vec_id": part["vec_id"].to_numpy(), "code": codes})
 
-    return vectors.mapInPandas(make, "bundle string, ordering int, place long, vec_id long, code binary")
+    return vectors.mapInPandas(make, "bundle string, ordering int, place long, finer long, vec_id long, code binary")
 
 
 def _by_bytes(least: float, keep: int):
@@ -241,7 +252,7 @@ def _within_crowds(crowd: DataFrame, k: int, least: float, dim: int, orderings:
     near = (
         _placed(crowd, 1 if largest <= 2 * CROWD else orderings, dim, whole=True)
         .repartition("bundle", "ordering")
-        .sortWithinPartitions("bundle", "ordering", "place", "vec_id")
+        .sortWithinPartitions("bundle", "ordering", "place", "finer", "vec_id")
         .select("bundle", "ordering", "vec_id", "code")
         .mapInPandas(_windows(_by_value(least, k + 1), CROWD, np.float32), FOUND)
     )
@@ -269,8 +280,8 @@ def similar_vectors(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = 9
     keep = max(KEEP, 2 * k)
     near = (
         _placed(vectors, orderings, dim)
-        .repartitionByRange("bundle", "ordering", "place")
-        .sortWithinPartitions("bundle", "ordering", "place")
+        .repartitionByRange("bundle", "ordering", "place", "finer")
+        .sortWithinPartitions("bundle", "ordering", "place", "finer")
         .select("bundle", "ordering", "vec_id", "code")
         .mapInPandas(_windows(_by_bytes(least - SLACK, keep), WINDOW, np.int8), FOUND)
     )
