@@ -153,6 +153,19 @@ def test_near_groups(spark, seed):
     assert neardup.group_pairs(groups).count() == sum(1 for g, i in want for h, j in want if g == h and i < j)
 
 
+@pytest.mark.parametrize("size, common", [(40, 26), (100, 71), (200, 146)])
+def test_edits_in_the_rare_words_of_long_texts(spark, size, common):
+    usual = [f"usual{i}" for i in range(common)]
+    made = []
+    for i in range(40):
+        rare = [f"rare{i}x{j}" for j in range(size - common)]
+        edits = int(size * 0.14) - 1
+        made += [" ".join(usual + rare), " ".join(usual + rare[edits:] + [f"new{i}x{j}" for j in range(edits)])]
+    df = spark.createDataFrame(list(enumerate(made)), "k long, t string")
+    got = {(r["group"], r.id) for r in neardup.near_groups(df, F.col("k"), F.col("t")).collect()}
+    assert got == grouped(made, is_near) and len(got) == 80
+
+
 def test_hot_bucket_and_empty(spark):
     base = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(i, f"{base} extra{i}") for i in range(2000)] + [(5000 + i, base) for i in range(500)], "k long, t string")

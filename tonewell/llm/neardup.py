@@ -9,8 +9,8 @@ centres as its only members, so no hot bucket gathers in a task. Candidates are
 rows are joined to groups.
 
 Words of a large part of all texts say little and would fill buckets with strangers; they are left out of the
-hashing, though not of the test. A text with few other words is hashed whole, and one that could be near such
-a text is hashed both ways. Equal word sets are one class from the start; only its smallest key takes part.
+hashing, though not of the test. A text whose other words could agree too little with those of a near text, all
+allowed edits being among them, is hashed whole as well, and with few other words only whole. Equal word sets are one class from the start; only its smallest key takes part.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ CENTRES = 3
 COMMON = 0.1
 #: Other words that a text must have to be hashed without the common ones.
 LEAST = 4
+#: Similarity of the other words from which the bands find nearly every pair (0.996 and more in simulations).
+SAFE = 0.65
 #: Members of a bucket in one batch from which the batch makes its star.
 FULL = 16
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -106,8 +108,11 @@ def star_candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 other = ~np.isin(flat, common)
                 left = np.bincount(owner[other], minlength=len(part))
                 keys, owners = [], []
-                # a text near one with fewer than LEAST other words has at most so many itself
-                for chosen, kept, (bands, rows), seed in ((left >= LEAST, other, (BANDS, ROWS), 1), (left < LEAST + size * (1 - threshold), np.ones(len(flat), bool), WHOLE, 2)):
+                # a text near one with fewer than LEAST other words has at most so many itself; the other words of a near text
+                # agree by 1 - size * (1 - threshold) / left at least, so of two that may agree less, both are hashed whole
+                edits = size * (1 - threshold)
+                unsafe = left < np.maximum(LEAST + edits, edits / (1 - SAFE))
+                for chosen, kept, (bands, rows), seed in ((left >= LEAST, other, (BANDS, ROWS), 1), (unsafe, np.ones(len(flat), bool), WHOLE, 2)):
                     n = int(chosen.sum())
                     if n:
                         number = np.cumsum(chosen) - 1
