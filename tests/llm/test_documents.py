@@ -130,3 +130,11 @@ def test_very_long_text_is_read_whole(spark):
     df = spark.createDataFrame([(1, " ".join([PROSE] * 500) + "\n" + "bell wav dog mp3 " * 12_000), (2, "bell wav dog mp3 " * 500 + "\n" + " ".join([PROSE] * 5000))], "doc_id long, text string")
     shares = {r.doc_id: r.share for r in stuffed.stuffed(df, "doc_id", "text").collect()}
     assert shares[1] > 0.5 > shares[2]
+
+
+def test_true_sentences_that_carry_one_keyword_again(spark):
+    towns = ["Paris", "New York", "Rome", "Lima", "Oslo", "Bonn", "Kyiv"]
+    spam = ["\n".join(f"The best bell sounds in {towns[i % 7]}." for i in range(60)), " ".join(f"Best sounds of {k} in the town." for k in ["bell", "dog", "rain", "door"] * 15)]
+    ham = ["\n".join(f"The bell is ringing at {i}." for i in range(60)), " ".join(["The dog is in the yard."] * 30), " ".join([PROSE] * 20) + " " + " ".join(f"The best bell sounds in {t}." for t in towns * 2)]
+    df = spark.createDataFrame(list(enumerate(spam + ham)), "doc_id long, text string")
+    assert {r.doc_id for r in stuffed.stuffed(df, "doc_id", "text").collect() if r.share > stuffed.MOST} == {0, 1}

@@ -5,7 +5,8 @@ segments of a kind form blocks. Each block's deflate ratio is held against the m
 blocks of the corpus of its language and length; these come from one aggregation over every document and fit
 a small table. A block is stuffed if it is extremely redundant for its length and language and the density
 of marks that close true sentences is low. Strings of keywords need not repeat themselves, so blocks with
-links, tags or words and no closing mark at all are stuffed whatever their ratio is. Code and data records
+links, tags or words and no closing mark at all are stuffed whatever their ratio is, and so are short closed
+sentences that say the same words again with another filling of one slot. Code and data records
 never are. A document is found if more than half of its characters lie in stuffed blocks.
 """
 
@@ -70,6 +71,11 @@ BLOCK = 1500
 LEAST_ITEMS = 10
 
 
+#: Words of a sentence that may be such a repetition, words of a slot, words besides the slot that are no function words,
+#: sentences of one pattern, and different fillings of its slot.
+SHORT, SLOT, CARRIED, REPEATS, FILLINGS = 10, 3, 4, 8, 3
+
+
 def _linked(text: str) -> str:
     """Addresses, with markup around them, replaced by as many marks, which no other rule touches; other markup by spaces."""
     if "<" not in text and ":" not in text and "www." not in text.lower():
@@ -160,13 +166,37 @@ def bucket(block: str) -> int:
     return int(2 * math.log2(max(1, len(block))))
 
 
+def repeated(sentences: list[str]) -> tuple[int, int]:
+    """Characters and words of the short sentences that are equal to enough others but for one slot, which is filled in turn.
+
+    Numbers fill no slot (logs), nor do patterns without a word of their own.
+    """
+    split = [WORD.findall(x.lower()) for x in sentences]
+    short = [i for i, words in enumerate(split) if 3 <= len(words) <= SHORT]
+    if len(short) < REPEATS:
+        return 0, 0
+    patterns: dict[tuple, list[tuple[int, str]]] = {}
+    for i in short:
+        words = split[i]
+        for a in range(len(words)):
+            for b in range(a + 1, min(a + SLOT, len(words)) + 1):
+                carried = sum(w not in ALL_FUNCTION_WORDS for w in words[:a] + words[b:])
+                if 1 <= carried <= CARRIED:
+                    patterns.setdefault((tuple(words[:a]), tuple(words[b:])), []).append((i, " ".join(w for w in words[a:b] if not w.isdigit())))
+    found: set[int] = set()
+    for members in patterns.values():
+        if len(members) >= REPEATS and len({f for _, f in members if f}) >= FILLINGS:
+            found.update(i for i, _ in members)
+    return sum(len(sentences[i]) for i in found), sum(len(split[i]) for i in found)
+
+
 FEATURES = "key {key}, lang string, total long, bad long, items long, buckets array<int>, ratios array<double>, thin array<struct<bucket:int,ratio:double,size:long,words:long,again:boolean>>"
 
 
 def features(text: str) -> tuple:
     """What one reading of a text gives: sizes, items, ratios of its blocks, and the blocks of thin sentences."""
     total = bad = items = 0
-    buckets, ratios, thin = [], [], []
+    buckets, ratios, thin, closed = [], [], [], []
     for kind, b, _ in blocks(text):
         total += len(b)
         buckets.append(bucket(b))
@@ -180,6 +210,11 @@ def features(text: str) -> tuple:
             # short blocks of thin sentences that say one word again are told by that word
             again = len(lines) >= 3 and any(sum(w in x for x in lines) >= 0.7 * len(lines) for w in set(words) - ALL_FUNCTION_WORDS)
             thin.append({"bucket": buckets[-1], "ratio": ratios[-1], "size": len(b), "words": len(words), "again": again})
+        elif kind == "true":
+            closed += b.split("\n")
+    size, said = repeated(closed)
+    if size:
+        thin.append({"bucket": 0, "ratio": 1.0, "size": size, "words": said, "again": True})
     return language(text), total, bad, items, buckets, ratios, thin
 
 
