@@ -95,18 +95,22 @@ def is_near(a, b):
     return len(x) >= 12 and len(y) >= 12 and len(x & y) >= 0.75 * len(x | y)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_across_misses_nothing(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 50_000), (2, 50_000), (1, 3)])
+def test_near_across_misses_nothing(spark, seed, hot, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT", hot)
+    monkeypatch.setattr(overlap, "SLICE", 50_000 if hot > 3 else 2)
     made = texts(seed)
     df = spark.createDataFrame(list(enumerate(made)), "k long, t string")
     c = sets.classes(sets.with_words(df, F.col("k"), F.col("t")))
-    got = {(min(r.a, r.b), max(r.a, r.b)) for r in overlap.near_across(c, c, overlap.common_words(c)).collect() if r.a != r.b}
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in overlap.near_across(c, c).collect()}
     kept = [r.id for r in c.collect()]
     want = {(i, j) for i in kept for j in kept if i < j and is_near(made[i], made[j])}
     assert got == want
 
 
-def test_overlap_pairs(spark):
+@pytest.mark.parametrize("slice_rows", [4_096, 2])
+def test_overlap_pairs(spark, slice_rows, monkeypatch):
+    monkeypatch.setattr(overlap, "SLICE", slice_rows)
     a = "one two three four five six seven eight nine ten eleven twelve"
     rows = [
         (1, "captions", " Development ", a, None), (2, "captions", "evaluation", a + " thirteen", "#12"), (3, "captions", None, a, "12"), (4, "captions", "VALIDATION", "short text", " 12.0"),
@@ -118,11 +122,28 @@ def test_overlap_pairs(spark):
     pairs = overlap.overlap_pairs(r)
     got = {(x.e, x.t): (x.near, x.same_sound) for x in pairs.collect()}
     assert got == {(2, 1): (1, 0), (2, 6): (1, 0), (2, 101): (1, 0), (2, 5): (0, 1), (4, 5): (0, 1), (100, 5): (0, 1)}
-    report = overlap.overlap_report(r, pairs).collect()
+    assert {x.containment for x in pairs.collect()} == {12 / 13, None}
+    report = overlap.overlap_report(r).collect()
     assert sum(x.pairs for x in report) == 6
+    assert sum(x.near_pairs for x in report) == 3 and sum(x.same_sound_pairs for x in report) == 3
+    assert overlap.overlap_report(r.where("false")).count() == 0
     assert overlap.overlap_pairs(r.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("slice_rows", [4_096, 7])
+def test_one_hot_class_and_one_hot_sound(spark, slice_rows, monkeypatch):
+    monkeypatch.setattr(overlap, "SLICE", slice_rows)
+    text = " ".join(f"w{i}" for i in range(14))
+    rows = spark.range(60).selectExpr("id", "if(id % 3 = 0, 'evaluation', 'train') as split", f"if(id < 45, '{text}', null) as caption_1", "if(id >= 30, '7', null) as freesound_sound_id")
+    empty = spark.createDataFrame([], "record_id long, clip_id string, caption string, source string, split string")
+    r = overlap.records(rows.withColumnRenamed("id", "record_id"), empty)
+    want = {(e, t): (int(e < 45 and t < 45), int(e >= 30 and t >= 30)) for e in range(0, 60, 3) for t in range(60) if t % 3}
+    want = {k: v for k, v in want.items() if any(v)}
+    assert {(x.e, x.t): (x.near, x.same_sound) for x in overlap.overlap_pairs(r).collect()} == want
+    (only,) = overlap.overlap_report(r).collect()
+    assert (only.pairs, only.eval_records, only.near_pairs, only.same_sound_pairs) == (len(want), 20, sum(a for a, _ in want.values()), sum(b for _, b in want.values()))
+
+
 def grouped(made, near):
     parent = list(range(len(made)))
 

@@ -66,10 +66,15 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.least("e", "t").alias("id_a"), F.greatest("e", "t").alias("id_b"))
 
 
+def p5_containment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every overlap with the part of the evaluation caption's words that the training caption has."""
+    pairs = overlap.overlap_pairs(_records(spark, folder))
+    return pairs.select("e", "t", "near", "same_sound", F.round("containment", 6).alias("containment"))
+
+
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     """The overlaps by evaluation split and source and training split and source."""
-    rows = _records(spark, folder)
-    return overlap.overlap_report(rows, overlap.overlap_pairs(rows))
+    return overlap.overlap_report(_records(spark, folder))
 
 
 def _groups(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
@@ -115,7 +120,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    made = [p1_found, p1_similar, p2_found, p3_found, p4_found, p4_terms, p4_ngrams, p5_found, p5_report, p6_found, p6_groups, p8_ids, p9_mix, p9_shares, p10_found]
+    made = [p1_found, p1_similar, p2_found, p3_found, p4_found, p4_terms, p4_ngrams, p5_found, p5_containment, p5_report, p6_found, p6_groups, p8_ids, p9_mix, p9_shares, p10_found]
     return {f.__name__: f for f in made}
 
 
@@ -134,9 +139,9 @@ _OVERLAPS = f"""
 WITH r AS ({_RECORDS}),
      e AS (SELECT * FROM r WHERE split IN ('validation', 'evaluation', 'val')),
      t AS (SELECT * FROM r WHERE split IN ('development', 'train')),
-     near AS (SELECT x.id AS e, y.id AS t FROM e x JOIN t y ON len(x.w) >= 12 AND len(y.w) >= 12 AND {_NEAR}),
+     near AS (SELECT x.id AS e, y.id AS t, len(list_intersect(x.w, y.w)) / len(x.w) AS c FROM e x JOIN t y ON len(x.w) >= 12 AND len(y.w) >= 12 AND {_NEAR}),
      sound AS (SELECT e.id AS e, t.id AS t FROM e JOIN t USING (sound)),
-     p AS (SELECT e, t, max(n) AS near, max(s) AS same_sound FROM (SELECT e, t, 1 AS n, 0 AS s FROM near UNION ALL SELECT e, t, 0, 1 FROM sound) GROUP BY ALL)
+     p AS (SELECT e, t, max(n) AS near, max(s) AS same_sound, round(max(c), 6) AS containment FROM (SELECT e, t, 1 AS n, 0 AS s, c FROM near UNION ALL SELECT e, t, 0, 1, NULL FROM sound) GROUP BY e, t)
 """
 _GROUPS = f"""
 WITH RECURSIVE r AS (
@@ -175,6 +180,7 @@ WITH w AS (SELECT record_id, {_WORDS.format("caption_1")} AS w FROM captions),
      g AS (SELECT record_id, n, array_to_string(w[i:i + n - 1], ' ') AS term FROM w, unnest([1, 2, 3]) AS k(n), unnest(range(1, len(w) + 1)) AS j(i) WHERE i + n - 1 <= len(w))
 SELECT term, CAST(n AS INT) AS n, count(*) AS occurrences, count(DISTINCT record_id) AS records FROM g GROUP BY term, n""",
         "p5_found": _OVERLAPS + "SELECT least(e, t) AS id_a, greatest(e, t) AS id_b FROM p",
+        "p5_containment": _OVERLAPS + "SELECT e, t, near, same_sound, containment FROM p",
         "p5_report": _OVERLAPS + """
 SELECT e.split AS eval_split, e.source AS eval_source, t.split AS train_split, t.source AS train_source, count(*) AS pairs, count(DISTINCT e.id) AS eval_records,
        CAST(sum(near) AS BIGINT) AS near_pairs, CAST(sum(same_sound) AS BIGINT) AS same_sound_pairs

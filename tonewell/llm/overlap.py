@@ -16,6 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,21 +26,25 @@ from .sets import MIN_WORDS, THRESHOLD, classes, least_shared, verified, with_wo
 
 #: n, and the sizes (distinct words, above and up to) of the larger text of a pair that it is for.
 ZONES = ((3, 0, 64), (2, 64, 256), (1, 256, 1 << 31))
-#: Words in at least this share of the classes get their true frequency in the order; all rarer ones count
-#: as equally rare. At most (words per class) / COMMON_SHARE words can be that frequent, whatever the data
-#: size is: some tens of thousands. That bounds what is broadcast.
-COMMON_SHARE = 0.001
+#: Cells of the table of word frequencies that orders the words; its size does not depend on the data.
+CELLS = 1 << 20
+#: Rows of one side that share an n-gram, a class or a sound, above which that key is cut into slices.
+HOT = 50_000
+#: Rows of a slice; a task then makes at most SLICE * SLICE pairs of one key at a time.
+SLICE = 4_096
 
 #: Training and evaluation splits, in lower case.
 TRAINING = ("development", "train")
 EVALUATION = ("validation", "evaluation", "val")
 
 
-def common_words(sets: DataFrame) -> dict[int, int]:
-    """Frequency of the words in at least COMMON_SHARE of the sets; bounded as said above."""
-    n = sets.count()
-    found = sets.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= max(2, COMMON_SHARE * n))
-    return {r["w"]: r["count"] for r in found.toLocalIterator()}
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How often the words of each of CELLS cells occur: an upper bound for each of them, in a table of fixed size."""
+    cell = F.col("w").bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    counts = sets.select(F.explode("words").alias("w")).groupBy(cell.alias("cell")).count().toPandas()  # CELLS rows at most
+    out = np.zeros(CELLS, np.int64)
+    out[counts["cell"].to_numpy(np.int64)] = counts["count"].to_numpy(np.int64)
+    return out
 
 
 def _combine(columns: list[np.ndarray]) -> np.ndarray:
@@ -51,27 +56,33 @@ def _combine(columns: list[np.ndarray]) -> np.ndarray:
     return h.view(np.int64)
 
 
-def grams(sets: DataFrame, frequency: dict[int, int], threshold: float = THRESHOLD) -> DataFrame:
-    """id, gram: the n-gram hashes of each set, its rarest words first. `sets` has id and words."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequency)
+def grams(sets: DataFrame, frequency: Broadcast[np.ndarray], threshold: float = THRESHOLD, above: int = 0) -> DataFrame:
+    """id, gram: the n-gram hashes of each set, its rarest words first. `sets` has id and words.
+
+    With `above`, only n-grams whose every word may occur more than so many times; no other can be shared by more sets.
+    """
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = shared.value
+        of = frequency.value
         picks: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
             ids, keys = [], []
             for key, words in zip(batch["id"], batch["words"]):
                 size = len(words)
-                order = np.array(sorted(words, key=lambda w: (of.get(w, 0), w)), np.int64).view(np.uint64)
+                often = of[words & (CELLS - 1)]
+                order = words[np.lexsort((words, often))].view(np.uint64)
+                rare = int((often <= above).sum()) if above else 0
                 spare = size - least_shared(size, threshold)
-                for n, above, most in ZONES:
-                    if not above * threshold < size <= most:
+                for n, low, most in ZONES:
+                    if not low * threshold < size <= most:
                         continue
                     k = min(spare + n, size)
-                    if (n, k) not in picks:
-                        picks[n, k] = list(np.array(list(combinations(range(k), n))).T)
+                    if k - rare < n:
+                        continue
+                    if (n, k - rare) not in picks:
+                        picks[n, k - rare] = list(np.array(list(combinations(range(k - rare), n))).T)
                     # a combination is a set: in hash order both sides agree
-                    chosen = np.sort(np.stack([order[p] for p in picks[n, k]]), axis=0)
+                    chosen = np.sort(np.stack([order[rare:][p] for p in picks[n, k - rare]]), axis=0)
                     h = _combine([np.full(chosen.shape[1], n, np.uint64), *chosen])
                     ids.append(np.full(len(h), key, np.int64))
                     keys.append(h)
@@ -81,14 +92,50 @@ def grams(sets: DataFrame, frequency: dict[int, int], threshold: float = THRESHO
     return sets.select("id", "words").mapInPandas(make, "id long, gram long")
 
 
-def near_across(eval_sets: DataFrame, train_sets: DataFrame, frequency: dict[int, int], threshold: float = THRESHOLD) -> DataFrame:
-    """a (evaluation), b (training), containment: every near pair of two collections of id and words."""
-    left = grams(eval_sets, frequency, threshold).withColumnRenamed("id", "a")
-    right = grams(train_sets, frequency, threshold).withColumnRenamed("id", "b")
-    pairs = left.join(right, "gram").select("a", "b").distinct()
+def meeting(left: DataFrame, right: DataFrame, by: str, hot: DataFrame | None) -> DataFrame:
+    """The join of both sides by a key; rows of the keys in `hot` (`by`, nl, nr: its rows on either side) meet in a grid of slices.
+
+    A row of a hot key goes to one row, or one column, of the grid of its key, so no task holds all rows of a key.
+    """
+    if hot is None:
+        return left.hint("merge").join(right, by)
+    size = hot.select(by, F.ceil(F.col("nl") / SLICE).cast("int").alias("_rows"), F.ceil(F.col("nr") / SLICE).cast("int").alias("_columns"))
+
+    def cut(side: DataFrame, own: str, other: str) -> DataFrame:
+        named = side.join(size, by, "left")
+        mine = F.pmod(F.xxhash64(F.lit(3), "id"), F.coalesce(own, F.lit(1))).cast("int").alias(own)
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(other)
+        return named.select(*side.columns, mine, every)
+
+    a = cut(left.withColumnRenamed("a", "id"), "_rows", "_columns").withColumnRenamed("id", "a")
+    b = cut(right.withColumnRenamed("b", "id"), "_columns", "_rows").withColumnRenamed("id", "b")
+    return a.hint("merge").join(b, [by, "_rows", "_columns"]).drop("_rows", "_columns")
+
+
+def _hot(left: DataFrame, right: DataFrame, by: str) -> DataFrame | None:
+    """Keys with more than HOT rows on a side that occur on both; None if there are none."""
+    sides = left.select(by, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(by, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    found = written(sides.groupBy(by).agg(F.sum("l").alias("nl"), F.sum("r").alias("nr")).where((F.greatest("nl", "nr") > HOT) & (F.least("nl", "nr") > 0)))
+    return None if found.isEmpty() else found
+
+
+def near_across(eval_sets: DataFrame, train_sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a (evaluation), b (training), containment: every near pair of different ids of two collections of id and words.
+
+    containment is the part of the words of a that b has.
+    """
     sets = eval_sets.select("id", "words").unionByName(train_sets.select("id", "words")).dropDuplicates(["id"])
-    same = pairs.where("a = b").select("a", "b", F.lit(1.0).alias("containment"))
-    return verified(pairs.where("a <> b"), sets, threshold, contained=True).unionByName(same)
+    often = frequencies(sets)
+    shared = sets.sparkSession.sparkContext.broadcast(often)  # CELLS numbers, whatever the data are
+    hot = None
+    if often.max(initial=0) > HOT:
+        heavy = [grams(s, shared, threshold, HOT).withColumnRenamed("id", name) for s, name in ((eval_sets, "a"), (train_sets, "b"))]
+        hot = _hot(*heavy, "gram")
+    left = grams(eval_sets, shared, threshold).withColumnRenamed("id", "a")
+    right = grams(train_sets, shared, threshold).withColumnRenamed("id", "b")
+    pairs = written(meeting(left, right, "gram", hot).where("a <> b").select("a", "b").distinct())
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return verified(pairs, sets.join(named, "id", "left_semi"), threshold, contained=True)
 
 
 def side(split: Column) -> Column:
@@ -120,36 +167,76 @@ def records(captions: DataFrame, wavcaps: DataFrame) -> DataFrame:
     return both.withColumn("side", side(F.col("split"))).where(F.col("side").isNotNull())
 
 
-def overlap_pairs(rows: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """e, t, near, same_sound: every evaluation and training record with near captions or one sound.
+def _found(rows: DataFrame, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes (a, b, containment, near) and members (id, side, labels, class) of what overlaps.
 
-    Null and blank captions are near nothing, and missing sounds equal nothing. Captions with fewer than
-    `min_words` distinct words are near nothing. Each pair comes once, repeated rows pair each on their own.
+    A class is a word set or a sound; classes of sounds have negative numbers of their own.
     """
+    labels = ["side", "split", "source"]
     # written once: several steps read them, and texts are cut into words a single time
-    worded = written(with_words(rows, F.col("id"), F.col("text"), F.col("side"), min_words=min_words))
+    worded = written(with_words(rows, F.col("id"), F.col("text"), *[F.col(c) for c in labels], min_words=min_words))
     reps = written(classes(worded, F.max(F.col("side") == "eval").alias("has_eval"), F.max(F.col("side") == "train").alias("has_train")))
-    frequency = common_words(reps)
-    found = near_across(reps.where("has_eval"), reps.where("has_train"), frequency, threshold).select("a", "b")
-    names = reps.select("h1", "h2", F.col("id").alias("class"))
-    members = worded.select("id", "side", "h1", "h2").join(names, ["h1", "h2"]).select("id", "side", "class")
-    evals = members.where("side = 'eval'").select(F.col("class").alias("a"), F.col("id").alias("e"))
-    trains = members.where("side = 'train'").select(F.col("class").alias("b"), F.col("id").alias("t"))
-    by_text = found.join(evals, "a").join(trains, "b").select("e", "t", F.lit(1).alias("near"), F.lit(0).alias("same_sound"))
-    sounds = rows.where(F.col("sound").isNotNull()).select("id", "side", "sound")
-    by_sound = (
-        sounds.where("side = 'eval'").select(F.col("id").alias("e"), "sound")
-        .join(sounds.where("side = 'train'").select(F.col("id").alias("t"), "sound"), "sound")
-        .select("e", "t", F.lit(0).alias("near"), F.lit(1).alias("same_sound"))
-    )
-    return by_text.unionByName(by_sound).groupBy("e", "t").agg(F.max("near").alias("near"), F.max("same_sound").alias("same_sound"))
-
-
-def overlap_report(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs and distinct evaluation records for each evaluation split and source against each training source."""
-    e = rows.where("side = 'eval'").select(F.col("id").alias("e"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
-    t = rows.where("side = 'train'").select(F.col("id").alias("t"), F.col("split").alias("train_split"), F.col("source").alias("train_source"))
+    across = near_across(reps.where("has_eval"), reps.where("has_train"), threshold)
+    same = reps.where("has_eval and has_train").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("containment"))
+    by_text = written(across.unionByName(same))
+    named = by_text.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    names = reps.select("h1", "h2", "id").join(named, "id", "left_semi").select("h1", "h2", F.col("id").cast("string").alias("class"))
+    members = worded.select("id", *labels, "h1", "h2").join(names, ["h1", "h2"]).select("id", *labels, "class")
+    sound = F.concat(F.lit("sound "), F.col("sound").cast("string"))
+    heard = rows.where(F.col("sound").isNotNull()).select("id", *labels, sound.alias("class"))
+    both = heard.groupBy("class").agg(F.countDistinct("side").alias("n")).where("n = 2").select("class")
+    by_sound = both.select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(None).cast("double").alias("containment"), F.lit(0).alias("near"))
+    pairs = by_text.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "containment", F.lit(1).alias("near"))
+    return written(pairs.unionByName(by_sound)), written(members.unionByName(heard.join(both, "class", "left_semi").select("id", *labels, "class")))
+
+
+def overlap_pairs(rows: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+    """e, t, near, same_sound, containment: every evaluation and training record with near captions or one sound.
+
+    containment is the part of the distinct words of the evaluation caption that the training caption has; it is null
+    for pairs that are not near. Null and blank captions are near nothing, and missing sounds equal nothing. Captions
+    with fewer than `min_words` distinct words are near nothing. Each pair comes once, repeated rows pair each on
+    their own. Classes with many members are expanded in slices, so no task makes all pairs of a class.
+    """
+    pairs, members = _found(rows, threshold, min_words)
+    # a pair of classes is a grid of cells, one for each slice of either; a cell has at most about SLICE rows of each side
+    side = F.when(F.col("side") == "eval", "e").otherwise("t").alias("s")
+    sizes = members.groupBy("class", side).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("n"))
+    sliced = members.select("id", "class", side).join(sizes, ["class", "s"]).select("id", "class", "s", F.pmod(F.xxhash64(F.lit(5), "id"), "n").cast("int").alias("slice"))
+    evals = sliced.where("s = 'e'").select(F.col("class").alias("a"), F.col("slice").alias("sa"), F.col("id").alias("e"))
+    trains = sliced.where("s = 't'").select(F.col("class").alias("b"), F.col("slice").alias("sb"), F.col("id").alias("t"))
+    wide = pairs.join(sizes.where("s = 'e'").select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(sizes.where("s = 't'").select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
+    cells = wide.select("a", "b", "containment", "near", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("sa"), "nb").withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
+    left = cells.join(evals, ["a", "sa"]).select("a", "b", "sa", "sb", "containment", "near", "e")
+    right = cells.select("a", "b", "sa", "sb").join(trains, ["b", "sb"]).select("a", "b", "sa", "sb", "t")
+    every = left.join(right, ["a", "b", "sa", "sb"])
+    return every.groupBy("e", "t").agg(F.max("near").alias("near"), F.max(1 - F.col("near")).alias("same_sound"), F.max("containment").alias("containment"))
+
+
+def overlap_report(rows: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+    """Pairs and distinct evaluation records for each evaluation split and source against each training split and source.
+
+    Pairs are counted from the sizes of the classes, which takes no list of pairs: near pairs and pairs of one sound,
+    less those that are both, which are counted from the classes parted by sound.
+    """
+    pairs, members = _found(rows, threshold, min_words)
     by = ["eval_split", "eval_source", "train_split", "train_source"]
-    # one row for each evaluation record first: the distinct count is then a plain sum
-    once = pairs.join(e, "e").join(t, "t").groupBy("e", *by).agg(F.count("*").alias("n"), F.sum("near").alias("near"), F.sum("same_sound").alias("same_sound"))
-    return once.groupBy(*by).agg(F.sum("n").alias("pairs"), F.count("*").alias("eval_records"), F.sum("near").alias("near_pairs"), F.sum("same_sound").alias("same_sound_pairs"))
+
+    def counted(of: DataFrame, side: str, key: str, *more: str) -> DataFrame:
+        name = "eval" if side == "eval" else "train"
+        return of.where(F.col("side") == side).groupBy(F.col("class").alias(key), *more, F.col("split").alias(f"{name}_split"), F.col("source").alias(f"{name}_source")).agg(F.count("*").alias(f"n_{name}"))
+
+    met = pairs.join(counted(members, "eval", "a"), "a").join(counted(members, "train", "b"), "b")
+    product = F.sum(F.col("n_eval") * F.col("n_train"))
+    single = met.groupBy(*by).agg(F.sum(F.when(F.col("near") == 1, F.col("n_eval") * F.col("n_train"))).alias("near_pairs"), F.sum(F.when(F.col("near") == 0, F.col("n_eval") * F.col("n_train"))).alias("sound_pairs"))
+    sounds = members.where(F.col("class").startswith("sound ")).select("id", F.col("class").alias("sound"))
+    parted = members.where(~F.col("class").startswith("sound ")).join(sounds, "id")
+    near = pairs.where("near = 1")
+    twice = near.join(counted(parted, "eval", "a", "sound"), "a").join(counted(parted, "train", "b", "sound"), ["b", "sound"]).groupBy(*by).agg(product.alias("both_pairs"))
+    # an evaluation record counts once for each label that any of its classes meets
+    labels = pairs.join(counted(members, "train", "b"), "b").select("a", "train_split", "train_source").distinct()
+    reached = members.where("side = 'eval'").select("id", F.col("split").alias("eval_split"), F.col("source").alias("eval_source"), F.col("class").alias("a")).join(labels, "a").select("id", *by).distinct()
+    records = reached.groupBy(*by).agg(F.count("*").alias("eval_records"))
+    zero = F.lit(0).cast("long")
+    near_pairs, sound_pairs, both_pairs = (F.coalesce(c, zero) for c in ("near_pairs", "sound_pairs", "both_pairs"))
+    return single.join(twice, by, "left").join(records, by).select(*by, (near_pairs + sound_pairs - both_pairs).alias("pairs"), "eval_records", near_pairs.alias("near_pairs"), sound_pairs.alias("same_sound_pairs"))
