@@ -107,6 +107,8 @@ SPAM = {
     "anchors": "".join(f'<li><a href="http://x{i}.test/a">bell</a></li>' for i in range(15)),
     "sentences": " ".join(f"Best bell sounds in Town{i}. Cheap bell sounds, bell wav." for i in range(25)),
     "shop": "\n".join(f"Bell Pack Vol {i} WAV 24bit 96k $1{i}.99 NEW" for i in range(25)),
+    "cyrillic": "звук дождя скачать бесплатно звук ветра " * 40, "cyrillic sentences": " ".join(f"Лучшие звуки дождя в {t}." for t in ["Москве", "Туле", "Омске", "Твери", "Уфе"] * 12),
+    "chinese": "雨声下载免费雨声 " * 40, "chinese sentences": "".join(f"最好的雨声在{t}。" for t in ["北京", "上海", "广州", "深圳"] * 15), "thai again": "ร้องเพลงในป่า " * 20, "two links": "https://www.site.example/a https://www.site.example/b",
     "mostly": PROSE + "\n" + " ".join(f"#tag{i}" for i in range(60)) + "\n" + PROSE,
 }
 HAM = {
@@ -114,7 +116,8 @@ HAM = {
     "code": "def trim(clip, start, stop):\n    # cut\n    rate = 32000\n    return clip[start * rate:stop * rate]\n" * 6,
     "data": "\n".join('{"clip_id": "bell_%d", "caption": "bell", "duration": %d.5}' % (i, i) for i in range(20)),
     "log": "\n".join(f"[00:{i:02d}] {PROSE}" for i in range(12)), "french": "Le chien aboie dans la cour et la cloche sonne près du quai. " * 6, "empty": "", "blank": " \n ", "null": None, "odd": "==========", "haha": "ha" * 60,
-    "thai": "ร้องเพลงในป่า " * 20, "upper": PROSE.upper() * 4,
+    "thai": "ร้องเพลงในป่า", "upper": PROSE.upper() * 4,
+    "russian": "Дождь стучит по крыше старого дома, а во дворе тихо лает собака. Вечером ветер приносит с реки далёкий звон колокола. Потом всё стихает, и слышно только, как скрипит калитка.", "russian words": "звук дождя и ветра",
 }
 
 
@@ -126,6 +129,14 @@ def test_stuffed(spark):
     assert stuffed.stuffed(df.where("false"), "doc_id", "text").count() == 0
 
 
+def test_the_ratio_decides(spark, monkeypatch):
+    named = ["cyrillic", "chinese", "cyrillic sentences", "sentences"]
+    df = spark.createDataFrame([(i, SPAM[k]) for i, k in enumerate(named)] + [(9, HAM["prose"])], "doc_id long, text string")
+    assert {r.doc_id for r in stuffed.stuffed(df, "doc_id", "text").collect() if r.share > stuffed.MOST} == {0, 1, 2, 3}
+    monkeypatch.setattr(stuffed, "ratio", lambda b: 1.0)
+    assert not [r for r in stuffed.stuffed(df, "doc_id", "text").collect() if r.share > stuffed.MOST]
+
+
 def test_very_long_text_is_read_whole(spark):
     df = spark.createDataFrame([(1, " ".join([PROSE] * 500) + "\n" + "bell wav dog mp3 " * 12_000), (2, "bell wav dog mp3 " * 500 + "\n" + " ".join([PROSE] * 5000))], "doc_id long, text string")
     shares = {r.doc_id: r.share for r in stuffed.stuffed(df, "doc_id", "text").collect()}
