@@ -121,12 +121,12 @@ def pieces(field: Column, pattern: Column) -> Column:
     return F.filter(F.transform(F.coalesce(raw, F.array().cast("array<string>")), clean), lambda p: p != "")
 
 
-def split_packed(df: DataFrame, key: str, field: str, source: str | None = None, value: str = "value") -> DataFrame:
-    """key, pos, `value`: one row per value of `field`, counted from 1 over the non-empty values.
+def packed_lists(df: DataFrame, key: str, field: str, source: str | None = None) -> DataFrame:
+    """key, values: every row with the list of the values in `field`, which is empty where there are none.
 
-    Null, empty and delimiter-only fields give no row; a value repeated in a field appears again; rows
-    repeated in the table are split each on their own; a null source is a source of its own. Other columns
-    of `df` are not looked at, whatever their names are.
+    Null, empty and delimiter-only fields give an empty list; a value repeated in a field appears again; rows repeated
+    in the table are split each on their own; a null source is a source of its own. Other columns of `df` are not
+    looked at, whatever their names are.
     """
     accepted, differing = infer_delimiters(df, field, source)
     base = df.select(F.col(key).alias("_key"), F.col(field).alias("_field"), (F.col(source) if source else F.lit("")).cast("string").alias("_source"))
@@ -139,4 +139,10 @@ def split_packed(df: DataFrame, key: str, field: str, source: str | None = None,
         parts = F.when(F.col("_names").isNull(), pieces(F.col("_field"), _pattern(accepted))).otherwise(pieces(F.col("_field"), _pattern(F.col("_names"))))
     else:
         parts = pieces(F.col("_field"), _pattern(accepted))
-    return base.select(F.col("_key").alias(key), F.posexplode(parts).alias("_pos", value)).select(key, (F.col("_pos") + 1).cast("int").alias("pos"), value)
+    return base.select(F.col("_key").alias(key), parts.alias("values"))
+
+
+def split_packed(df: DataFrame, key: str, field: str, source: str | None = None, value: str = "value") -> DataFrame:
+    """key, pos, `value`: one row per value of `field`, counted from 1 over the non-empty values; see packed_lists."""
+    lists = packed_lists(df, key, field, source).select(F.col(key).alias("_key"), "values")
+    return lists.select(F.col("_key").alias(key), F.posexplode("values").alias("_pos", value)).select(key, (F.col("_pos") + 1).cast("int").alias("pos"), value)
