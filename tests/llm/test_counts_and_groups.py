@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -40,25 +41,44 @@ def test_score_bins_keep_order(spark):
     assert bins == sorted(bins)
 
 
-@pytest.mark.parametrize("longest", [1, 3])
-def test_term_counts(spark, longest):
+@pytest.mark.parametrize(("longest", "held"), [(1, 200_000), (3, 200_000), (3, 7)])
+def test_term_counts(spark, longest, held, monkeypatch):
+    monkeypatch.setattr(terms, "HELD", held)
     rnd = random.Random(4)
-    lists = [(i % 50, [rnd.choice("aaab cde".split() + ["the", "the", "é"]) for _ in range(rnd.randint(0, 12))]) for i in range(300)] + [(7, None), (8, ["x", None, "y"]), (9, [])]
-    df = spark.createDataFrame([("f", i, t) for i, t in lists] + [("other", 1, ["the"])], "field_name string, record long, terms array<string>")
+    lists = [[[rnd.choice("aaab cde".split() + ["the", "the", "é"]) for _ in range(rnd.randint(0, 12))] for _ in range(rnd.randint(0, 4))] for _ in range(300)] + [None, [["x", None, "y"]], [[]], [None, ["the"]]]
+    df = spark.createDataFrame([("f", t, 1) for t in lists] + [("other", [["the"]], 1)], "field_name string, lists array<array<string>>, records int")
     occ, rec = Counter(), {}
-    for i, t in lists:
-        t = [w for w in t or [] if w is not None]
-        for n in range(1, longest + 1):
-            for j in range(len(t) - n + 1):
-                g = " ".join(t[j : j + n])
-                occ[g] += 1
-                rec.setdefault(g, set()).add(i)
+    for i, record in enumerate(lists):
+        for t in record or []:
+            t = [w for w in t or [] if w is not None]
+            for n in range(1, longest + 1):
+                for j in range(len(t) - n + 1):
+                    g = " ".join(t[j : j + n])
+                    occ[g] += 1
+                    rec.setdefault(g, set()).add(i)
     rows = terms.term_counts(df, longest).collect()
     assert {(r.term, r.n, r.occurrences, r.records) for r in rows if r.field_name == "f"} == {(g, len(g.split()), occ[g], len(rec[g])) for g in occ}
     assert [(r.term, r.records) for r in rows if r.field_name == "other"] == [("the", 1)]
     assert terms.term_counts(df.where("false"), longest).count() == 0
 
 
+def test_a_term_in_every_record_takes_constant_memory():
+    """Half a million records with one term: neither the map side nor the stack holds records."""
+    import tracemalloc
+
+    def batches():
+        for _ in range(50):
+            yield pd.DataFrame({"field_name": ["f"] * 10_000, "lists": [[["the", "the"]]] * 10_000})
+
+    tracemalloc.start()
+    (made,) = terms._suffixes(1)(batches())
+    (counted,) = terms._stack(iter([made]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counted.to_dict("records") == [{"field_name": "f", "gram": ["the"], "occurrences": 1_000_000, "records": 500_000}]
+    assert peak < 8_000_000
+
+
 def test_marks(spark):
     df = spark.createDataFrame([("a", 1), ("b", 5), ("c", 6)], "term string, records long")
     assert {r.term: r.mark for r in terms.marked(df, 100).collect()} == {"a": "rare", "b": None, "c": "common"}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..operators.packed import split_packed
+from ..operators.packed import packed_lists
 from ..session import table, written
 from . import defects, encode, mixing, neardup, neighbours, overlap, stuffed, terms, topn
 
@@ -32,29 +32,28 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_items(table(spark, folder, "neighbors"), "anchor_id", "audio_id", "score", 5).select("anchor_id", "audio_id", "rnk")
 
 
-def _term_lists(spark: SparkSession, folder: str) -> DataFrame:
-    captions = table(spark, folder, "captions")
-    texts = captions.select(F.lit("caption_1").alias("field_name"), F.col("record_id").alias("record"), words("caption_1").alias("terms"))
-    values = split_packed(captions, "record_id", "keywords", "freesound_uploader", "keyword")
-    return texts.unionByName(values.select(F.lit("keywords").alias("field_name"), F.col("record_id").alias("record"), F.array(F.lower("keyword")).alias("terms")))
+def _caption_terms(captions: DataFrame) -> DataFrame:
+    return captions.select(F.lit("caption_1").alias("field_name"), F.array(words("caption_1")).alias("lists"))
 
 
 def p4_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Words of caption_1 with their counts and marks."""
     captions = table(spark, folder, "captions")
-    lists = captions.select(F.lit("caption_1").alias("field_name"), F.col("record_id").alias("record"), words("caption_1").alias("terms"))
-    return terms.marked(terms.term_counts(lists), captions.count()).select("term", "occurrences", "records", "mark")
+    return terms.marked(terms.term_counts(_caption_terms(captions)), captions.count()).select("term", "occurrences", "records", "mark")
 
 
 def p4_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of up to three words of caption_1 with their counts."""
-    lists = table(spark, folder, "captions").select(F.lit("caption_1").alias("field_name"), F.col("record_id").alias("record"), words("caption_1").alias("terms"))
-    return terms.term_counts(lists, longest=3).select("term", "n", "occurrences", "records")
+    return terms.term_counts(_caption_terms(table(spark, folder, "captions")), longest=3).select("term", "n", "occurrences", "records")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    counts = terms.term_counts(_term_lists(spark, folder))
-    return terms.marked(counts, table(spark, folder, "captions").count()).where(F.col("mark").isNotNull()).select("field_name", "term", "mark")
+    captions = table(spark, folder, "captions")
+    values = packed_lists(captions, "record_id", "keywords", "freesound_uploader")
+    # every value is a list of its own
+    keywords = values.select(F.lit("keywords").alias("field_name"), F.transform("values", lambda v: F.array(F.lower(v))).alias("lists"))
+    counts = terms.term_counts(_caption_terms(captions).unionByName(keywords))
+    return terms.marked(counts, captions.count()).where(F.col("mark").isNotNull()).select("field_name", "term", "mark")
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
