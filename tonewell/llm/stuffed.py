@@ -26,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -69,6 +70,7 @@ CLOSED = re.compile(r"[.!?…。！？؟।][\"'»”’)\]]*$")
 CODE = re.compile(r"^\s*(?:def |class |return\b|import |from \w+ import|for .*:$|if .*:$|else:|while .*:$|\w[\w.]*\s*[-+*/]?=\s|\w[\w.]*\(.*\)\s*;?$|[{}\[\]();]+,?$|//|/\*|\$ |>>> |<\?|select .* from )", re.I)
 RECORD = re.compile(r"^\s*(?:[{\[].*[:,].*[}\]],?$|\"?\w+\"?\s*:\s*[\d\"\[{].*$)")
 NUMBER = re.compile(r"\s*\"?[-+]?\d[\d.:]*\"?\s*")
+NO_LATIN = re.compile(r"[^\x00-\u024f]")
 NUMBERS = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
 BULLET = re.compile(r"^\s*(?:[-*•>]+|\d+[.)]|\[[\d:]+\]|#+(?=\s))\s*")
 LINK = ""
@@ -109,8 +111,8 @@ def _script(letter: str) -> str:
 
 
 def script(text: str) -> str:
-    """The script of most letters of a text."""
-    if text.isascii():
+    """The script of most letters of a text; LATIN where other characters are less than a quarter of all."""
+    if text.isascii() or len(NO_LATIN.findall(text)) * 4 < len(text):
         return "LATIN"
     found = Counter(_script(c) for c in text if c.isalpha())
     return max(found, key=lambda k: (found[k], k), default="OTHER")
@@ -118,6 +120,8 @@ def script(text: str) -> str:
 
 def tokens(text: str) -> list[str]:
     """The words of a text; ideographs and kana, which stand without spaces, one by one."""
+    if text.isascii():
+        return WORD.findall(text.lower())
     out: list[str] = []
     for w in WORD.findall(text.lower()):
         if w.isascii() or not any("\u3040" <= c <= "\u9fff" for c in w):
@@ -134,7 +138,7 @@ def kind_of(segment: str, odds: dict[str, float]) -> str:
     words = WORD.findall(segment.replace(LINK, " ").lower())
     if not words:
         return "open"
-    score = sum(odds.get(w, 0.0) for w in words) / len(words)
+    score = sum(map(odds.get, words, repeat(0.0))) / len(words)
     if CLOSED.search(segment):
         return "open" if score < LIST_ODDS and len(words) >= 3 else "closed"
     if segment.count("#") * 2 >= len(words):
@@ -209,11 +213,10 @@ def bucket(block: str) -> int:
     return int(2 * math.log2(max(1, len(block))))
 
 
-def frames(sentences: list[str]) -> dict[str, tuple]:
-    """The frame of each of different sentences: its words without those that no other one has, and without numbers."""
-    split = {x: [w for w in tokens(x) if not w.isdigit()] for x in sentences}
+def frames(split: dict[str, list[str]]) -> dict[str, tuple]:
+    """The frame of each of different sentences, given with their words: those without what no other one has, and without numbers."""
     said = Counter(w for words in split.values() for w in set(words))
-    return {x: tuple(w for w in words if said[w] > 1) for x, words in split.items()}
+    return {x: tuple(w for w in words if said[w] > 1 and not w.isdigit()) for x, words in split.items()}
 
 
 FEATURES = "key {key}, lang string, script string, total long, bad long, links long, items long, usual array<struct<bucket:int,ratio:double>>, doubtful array<struct<bucket:int,ratio:double,size:long,words:long>>"
@@ -239,7 +242,8 @@ def features(text: str, odds: dict[str, float]) -> tuple:
             unknown.append(s)
     usual = [{"bucket": bucket(b), "ratio": ratio(b)} for b in map("\n".join, blocks(list(closed)))]
     doubtful = []
-    frame = frames([s for s in closed if len(tokens(s)) <= SHORT])
+    split = {s: w for s in closed if len(w := tokens(s)) <= SHORT}
+    frame = frames(split) if len(split) >= FILLINGS else {}
     filled = Counter(frame.values())
     # repeats count in the ratio only if their frame is filled in turn
     said = {s: closed[s] if filled[f] >= FILLINGS else 1 for s, f in frame.items()}
@@ -248,7 +252,7 @@ def features(text: str, odds: dict[str, float]) -> tuple:
             b = "\n".join(part)
             # a sentence that is taken once counts with its repeats
             times = [closed.get(s, 1) if said.get(s, 1) == 1 else 1 for s in part]
-            doubtful.append({"bucket": bucket(b), "ratio": ratio(b), "size": sum(n * len(s) for n, s in zip(times, part)), "words": sum(n * len(tokens(s)) for n, s in zip(times, part))})
+            doubtful.append({"bucket": bucket(b), "ratio": ratio(b), "size": sum(n * len(s) for n, s in zip(times, part)), "words": sum(n * len(split.get(s, ())) for n, s in zip(times, part))})
     for part in blocks(unknown):  # they have no mark at all
         b = "\n".join(part)
         doubtful.append({"bucket": bucket(b), "ratio": ratio(b), "size": sum(map(len, part)), "words": len(tokens(b))})
@@ -258,7 +262,7 @@ def features(text: str, odds: dict[str, float]) -> tuple:
 def word_odds(rows: DataFrame) -> dict[str, float]:
     """For each frequent word the log odds, from -3 to 3, that it stands in a line with a closing mark; from all documents."""
     line = rows.select(F.explode(F.split("text", "\n")).alias("line"))
-    lines = line.select(F.col("line").rlike(r"[.!?…。！？؟।][\"'»”’)\]]*\s*$").cast("int").alias("closed"), F.array_distinct(spark_words("line")).alias("words"))
+    lines = line.select(F.col("line").rlike(r"[.!?…。！？؟।][\"'»”’)\]]*\s*$").cast("int").alias("closed"), spark_words("line").alias("words"))
     counts = lines.select("closed", F.explode("words").alias("w")).groupBy("w").agg(F.sum("closed").alias("closed"), F.sum(1 - F.col("closed")).alias("open"))
     totals = written(counts)
     whole = totals.agg(F.sum("closed").alias("c"), F.sum("open").alias("o")).first()
