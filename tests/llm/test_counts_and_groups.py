@@ -150,6 +150,18 @@ def test_overlap_pairs(spark, slice_rows, monkeypatch):
     assert overlap.overlap_pairs(r.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("slice_rows", [4_096, 3])
+def test_one_huge_group_and_two_tables(spark, slice_rows, monkeypatch):
+    """Copies in one group are paired slice by slice; equal texts of different tables are no group."""
+    monkeypatch.setattr(sets, "SLICE", slice_rows)
+    text = " ".join(f"w{i}" for i in range(14))
+    df = spark.range(40).selectExpr("id as k", f"if(id < 30, '{text}', concat('{text} x', id)) as t", "1 as id", "'x' as `group`")
+    other = spark.createDataFrame([(5, text), (-3, text.upper()), (9, "short")], "k long, t string")
+    groups = neardup.near_groups({"one": (df, F.col("k"), F.col("t")), "two": (other, F.col("k"), F.col("t"))})
+    assert {(r.table_name, r.id, r.group) for r in groups.collect()} == {("one", i, 0) for i in range(40)} | {("two", 5, -3), ("two", -3, -3)}
+    assert {(r.table_name, r.id_a, r.id_b) for r in neardup.group_pairs(groups).collect()} == {("one", i, j) for i in range(40) for j in range(i + 1, 40)} | {("two", -3, 5)}
+
+
 @pytest.mark.parametrize("slice_rows", [4_096, 7])
 def test_one_hot_class_and_one_hot_sound(spark, slice_rows, monkeypatch):
     monkeypatch.setattr(overlap, "SLICE", slice_rows)
@@ -187,7 +199,7 @@ def test_near_groups(spark, seed):
     made = texts(seed)
     made += [made[0].upper()] * 3
     df = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(made)] + [(None, made[0], "c", 1)], "k long, t string, id string, rep int")
-    groups = neardup.near_groups(df, F.col("k"), F.col("t"))
+    groups = neardup.near_groups({"t": (df, F.col("k"), F.col("t"))})
     got = {(r["group"], r.id) for r in groups.collect()}
     want = grouped(made, is_near)
     assert got == want
@@ -203,17 +215,17 @@ def test_edits_in_the_rare_words_of_long_texts(spark, size, common):
         edits = int(size * 0.14) - 1
         made += [" ".join(usual + rare), " ".join(usual + rare[edits:] + [f"new{i}x{j}" for j in range(edits)])]
     df = spark.createDataFrame(list(enumerate(made)), "k long, t string")
-    got = {(r["group"], r.id) for r in neardup.near_groups(df, F.col("k"), F.col("t")).collect()}
+    got = {(r["group"], r.id) for r in neardup.near_groups({"t": (df, F.col("k"), F.col("t"))}).collect()}
     assert got == grouped(made, is_near) and len(got) == 80
 
 
 def test_hot_bucket_and_empty(spark):
     base = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(i, f"{base} extra{i}") for i in range(2000)] + [(5000 + i, base) for i in range(500)], "k long, t string")
-    groups = neardup.near_groups(df, F.col("k"), F.col("t"))
+    groups = neardup.near_groups({"t": (df, F.col("k"), F.col("t"))})
     assert groups.count() == 2500 and groups.select("group").distinct().count() == 1
-    assert neardup.near_groups(df.where("false"), F.col("k"), F.col("t")).count() == 0
-    assert neardup.near_groups(df.where("k < 1"), F.col("k"), F.col("t")).count() == 0
+    assert neardup.near_groups({"t": (df.where("false"), F.col("k"), F.col("t"))}).count() == 0
+    assert neardup.near_groups({"t": (df.where("k < 1"), F.col("k"), F.col("t"))}).count() == 0
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))

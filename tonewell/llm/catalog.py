@@ -76,22 +76,20 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(_records(spark, folder))
 
 
-def _groups(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:
-    return [
-        ("captions", neardup.near_groups(table(spark, folder, "captions"), F.col("record_id"), neardup.caption_text())),
-        ("intent_queries", neardup.near_groups(table(spark, folder, "intent_queries"), F.col("query_id"), F.col("query"))),
-    ]
+def _groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_groups({
+        "captions": (table(spark, folder, "captions"), F.col("record_id"), neardup.caption_text()),
+        "intent_queries": (table(spark, folder, "intent_queries"), F.col("query_id"), F.col("query")),
+    })
 
 
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each row of a group: its group and the number of links of its text."""
-    (a, x), (b, y) = _groups(spark, folder)
-    return x.select(F.lit(a).alias("table_name"), "*").unionByName(y.select(F.lit(b).alias("table_name"), "*"))
+    """One row for each row of a group, with the smallest key of its group."""
+    return _groups(spark, folder)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    (a, x), (b, y) = _groups(spark, folder)
-    return neardup.group_pairs(x).select(F.lit(a).alias("table_name"), "*").unionByName(neardup.group_pairs(y).select(F.lit(b).alias("table_name"), "*"))
+    return neardup.group_pairs(_groups(spark, folder))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -184,5 +182,6 @@ SELECT term, CAST(n AS INT) AS n, count(*) AS occurrences, count(DISTINCT record
 SELECT e.split AS eval_split, e.source AS eval_source, t.split AS train_split, t.source AS train_source, count(*) AS pairs, count(DISTINCT e.id) AS eval_records,
        CAST(sum(near) AS BIGINT) AS near_pairs, CAST(sum(same_sound) AS BIGINT) AS same_sound_pairs
 FROM p JOIN e ON p.e = e.id JOIN t ON p.t = t.id GROUP BY ALL""",
+        "p6_groups": _GROUPS + 'SELECT table_name, a AS id, min(b) AS "group" FROM reach GROUP BY ALL',
         "p6_found": _GROUPS + "SELECT table_name, a AS id_a, b AS id_b FROM reach WHERE a < b",
     }

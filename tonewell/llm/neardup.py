@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .components import components
-from .sets import MIN_WORDS, THRESHOLD, verified, with_words
+from .sets import MIN_WORDS, THRESHOLD, member_pairs, verified, with_words
 
 BANDS = 40
 ROWS = 4
@@ -87,14 +87,17 @@ def _rank(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def common_words(sets: DataFrame) -> np.ndarray:
-    """Sorted hashes of the words in more than COMMON of the texts; at most (words a text) / COMMON."""
-    n = sets.count()
-    found = sets.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") > COMMON * n).collect()
+    """Sorted hashes of the words in more than COMMON of the texts of their part; at most (words a text) / COMMON a part."""
+    sizes = {r["part"]: r["count"] for r in sets.groupBy("part").count().collect()}  # one row a part
+    if not sizes:
+        return np.array([], np.int64)
+    least = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, COMMON * n)])
+    found = sets.select("part", F.explode("words").alias("w")).groupBy("part", "w").count().where(F.col("count") > least[F.col("part")]).collect()
     return np.sort(np.array([r["w"] for r in found], np.int64))
 
 
 def star_candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b (a < b): each member of a bucket with each of its centres, once. `sets` has id and words."""
+    """a, b (a < b): each member of a bucket with each of its centres, once. `sets` has id, part and words."""
     stop = sets.sparkSession.sparkContext.broadcast(common_words(sets))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,38 +187,52 @@ def near_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return verified(sifted, sets.join(named, "id", "left_semi"), threshold)
 
 
-def near_groups(df: DataFrame, key: Column, text: Column, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, group, links: the rows that belong to a group of at least two; group is the smallest key in it.
+def near_groups(tables: dict[str, tuple[DataFrame, Column, Column]], threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+    """table_name, id, group: the rows that belong to a group of at least two; group is the smallest key in it.
 
-    links counts the near classes of other words that were linked with the row's class. Null, empty and short
-    texts (fewer than `min_words` distinct words) belong to no group. `key` names a row; a row that is repeated
-    with its key counts once.
+    `tables` holds, by name, a table with its key and its text; rows of different tables are never linked, they only
+    go through the same steps. Null, empty and short texts (fewer than `min_words` distinct words) belong to no group. The
+    key (BIGINT, times the number of tables still one) names a row; a row that is repeated with its key counts
+    once. The table that comes out is written: what is made of it later does not make it again.
     """
+    names = list(tables)
+    spread = len(names)
+    parts = []
+    for n, (df, key, text) in enumerate(tables.values()):
+        worded = with_words(df.where(key.isNotNull()), key, text, min_words=min_words)
+        # words of different tables differ, and so do keys
+        own = F.lit(n * 0x1F3D5B79A8642CE1 % (1 << 63))
+        own_words = F.transform("words", lambda w: w.bitwiseXOR(own))
+        parts.append(worded.select((F.col("id") * spread + n).alias("id"), F.lit(n).alias("part"), own_words.alias("words"), F.xxhash64(F.lit(n), "h1").alias("h1"), "h2"))
+    together = parts[0]
+    for p in parts[1:]:
+        together = together.unionByName(p)
     # written once: every later step reads the columns it needs, and texts are cut into words a single time
-    worded = written(with_words(df.where(key.isNotNull()), key, text, min_words=min_words))
+    worded = written(together)
     hashed = worded.select("id", "h1", "h2")
     copied = hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     # copies alone are named: nearly every text is its class
     members = written(hashed.join(copied.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep").distinct())
-    sets = worded.join(members.where("id <> rep").select("id"), "id", "left_anti").select("id", "words")
-    links = written(near_links(sets, threshold))
-    joined = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
-    nodes = joined.select(F.col("id").alias("rep"), "component").join(degree, "rep").select("rep", F.col("component").alias("group"), F.col("count").alias("links"))
-    copies = members.where("id <> rep").join(nodes, "rep", "left").select("id", F.coalesce("group", "rep").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
-    alone = members.where("id = rep").join(nodes.select("rep"), "rep", "left_anti").join(members.where("id <> rep").select("rep").distinct(), "rep", "left_semi")
-    return (
-        nodes.select(F.col("rep").alias("id"), "group", "links")
-        .unionByName(copies)
-        .unionByName(alone.select("id", F.col("rep").alias("group"), F.lit(0).cast("long").alias("links")))
-    )
+    sets = written(worded.join(members.where("id <> rep").select("id"), "id", "left_anti").select("id", "part", "words"))
+    nodes = written(components(written(near_links(sets, threshold))).select(F.col("id").alias("rep"), F.col("component").alias("group")))
+    copies = members.join(nodes, "rep", "left").select("id", "rep", F.coalesce("group", "rep").alias("group"))
+    copied_reps = copies.where("id <> rep").select("rep").distinct()
+    found = copies.where("id <> rep").select("id", "group").unionByName(nodes.select(F.col("rep").alias("id"), "group"))
+    # representatives that only copies are linked with
+    alone = copied_reps.join(nodes, "rep", "left_anti").select(F.col("rep").alias("id"), F.col("rep").alias("group"))
+    named = F.element_at(F.array(*map(F.lit, names)), F.pmod("id", F.lit(spread)).cast("int") + 1)
+
+    def plain(c: str) -> Column:
+        return F.expr(f"(`{c}` - pmod(`{c}`, {spread})) div {spread}")
+
+    return written(found.unionByName(alone).select(named.alias("table_name"), plain("id").alias("id"), plain("group").alias("group")))
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:
-    """id_a, id_b: every pair of rows of a group, the smaller key first."""
-    a = groups.select("group", F.col("id").alias("id_a"))
-    b = groups.select("group", F.col("id").alias("id_b"))
-    return a.join(b, "group").where("id_a < id_b").select("id_a", "id_b")
+    """table_name, id_a, id_b: every pair of rows of a group, the smaller key first; large groups are paired slice by slice."""
+    members = groups.select(F.concat_ws("/", "table_name", F.col("group").cast("string")).alias("class"), "id")
+    whole = groups.groupBy("table_name", F.concat_ws("/", "table_name", F.col("group").cast("string")).alias("a")).agg(F.count("*").alias("n")).select("table_name", "a", F.col("a").alias("b"))
+    return member_pairs(whole, members, members, "table_name").where("x < y").select("table_name", F.col("x").alias("id_a"), F.col("y").alias("id_b"))
 
 
 def caption_text() -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..session import written
-from .sets import MIN_WORDS, THRESHOLD, classes, least_shared, verified, with_words
+from .sets import MIN_WORDS, THRESHOLD, classes, least_shared, member_pairs, verified, with_words
 
 #: n, and the sizes (distinct words, above and up to) of the larger text of a pair that it is for.
 ZONES = ((3, 0, 64), (2, 64, 256), (1, 256, 1 << 31))
@@ -199,17 +199,8 @@ def overlap_pairs(rows: DataFrame, threshold: float = THRESHOLD, min_words: int
     their own. Classes with many members are expanded in slices, so no task makes all pairs of a class.
     """
     pairs, members = _found(rows, threshold, min_words)
-    # a pair of classes is a grid of cells, one for each slice of either; a cell has at most about SLICE rows of each side
-    side = F.when(F.col("side") == "eval", "e").otherwise("t").alias("s")
-    sizes = members.groupBy("class", side).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("n"))
-    sliced = members.select("id", "class", side).join(sizes, ["class", "s"]).select("id", "class", "s", F.pmod(F.xxhash64(F.lit(5), "id"), "n").cast("int").alias("slice"))
-    evals = sliced.where("s = 'e'").select(F.col("class").alias("a"), F.col("slice").alias("sa"), F.col("id").alias("e"))
-    trains = sliced.where("s = 't'").select(F.col("class").alias("b"), F.col("slice").alias("sb"), F.col("id").alias("t"))
-    wide = pairs.join(sizes.where("s = 'e'").select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(sizes.where("s = 't'").select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-    cells = wide.select("a", "b", "containment", "near", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("sa"), "nb").withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
-    left = cells.join(evals, ["a", "sa"]).select("a", "b", "sa", "sb", "containment", "near", "e")
-    right = cells.select("a", "b", "sa", "sb").join(trains, ["b", "sb"]).select("a", "b", "sa", "sb", "t")
-    every = left.join(right, ["a", "b", "sa", "sb"])
+    evals, trains = (members.where(F.col("side") == k).select("class", "id") for k in ("eval", "train"))
+    every = member_pairs(pairs, evals, trains, "containment", "near", size=SLICE).withColumnsRenamed({"x": "e", "y": "t"})
     return every.groupBy("e", "t").agg(F.max("near").alias("near"), F.max(1 - F.col("near")).alias("same_sound"), F.max("containment").alias("containment"))
 
 

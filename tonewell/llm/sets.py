@@ -59,3 +59,29 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, co
     both = pairs.join(left, "a").join(right, "b").where(small * den >= large * num)
     shares = F.size(F.array_intersect("_wa", "_wb")) / F.size("_wa")
     return both.where(near(F.col("_wa"), F.col("_wb"), threshold)).select("a", "b", *([shares.alias("containment")] if contained else []))
+
+
+#: Members of a class that one slice holds, about; a task makes at most SLICE * SLICE pairs of a class at a time.
+SLICE = 4_096
+
+
+def member_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, *more: str, size: int | None = None) -> DataFrame:
+    """a, b, x, y and `more`: the members x of class a with the members y of class b, for each of the pairs (a, b, `more`).
+
+    `left` and `right` hold class and id. A pair of classes is a grid of cells, one for each slice of either, so no
+    task has more of a class than some slices.
+    """
+    size = size or SLICE
+
+    def sliced(side: DataFrame, key: str, part: str, member: str) -> tuple[DataFrame, DataFrame]:
+        sizes = side.groupBy(F.col("class").alias(key)).agg(F.ceil(F.count("*") / size).cast("int").alias(f"n{part}"))
+        named = side.select(F.col("class").alias(key), F.col("id").alias(member)).join(sizes, key)
+        return named.select(key, F.pmod(F.xxhash64(F.lit(5), member), F.col(f"n{part}")).cast("int").alias(part), member), sizes
+
+    (xs, nx), (ys, ny) = sliced(left, "a", "sx", "x"), sliced(right, "b", "sy", "y")
+    wide = pairs.select("a", "b", *more).join(nx, "a").join(ny, "b")
+    cells = wide.withColumn("sx", F.explode(F.sequence(F.lit(0), F.col("nsx") - 1))).withColumn("sy", F.explode(F.sequence(F.lit(0), F.col("nsy") - 1))).drop("nsx", "nsy")
+    cell = ["a", "b", "sx", "sy"]
+    with_x = cells.join(xs, ["a", "sx"]).select(*cell, *more, "x")
+    with_y = cells.select(*cell).join(ys, ["b", "sy"]).select(*cell, "y")
+    return with_x.join(with_y, cell).select("a", "b", "x", "y", *more)

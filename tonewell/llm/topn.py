@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 SPARE = 8
 #: At most this many groups get a threshold, the bound of what is broadcast: groups with more rows than a
 #: `LARGE_GROUPS`-th of the table, of which there cannot be more, and with at least MIN_ROWS rows.
@@ -42,23 +44,24 @@ def top_items(df: DataFrame, group: str, item: str, score: str, n: int) -> DataF
     rows = rows.where(F.col("g").isNotNull() & F.col("i").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s") & (F.col("g") != F.col("i")))
     binned = rows.withColumn("b", score_bin(F.col("s")))
 
-    counts = binned.groupBy("g", "b").agg(F.count("*").alias("c"))
+    counts = written(binned.groupBy("g", "b").agg(F.count("*").alias("c")))  # combined before the shuffle
     down = Window.partitionBy("g").orderBy(F.desc("b"))
-    total = rows.count()
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     least = max(MIN_ROWS, total // LARGE_GROUPS)
-    sizes = counts.withColumn("above", F.sum("c").over(down.rowsBetween(Window.unboundedPreceding, -1))).withColumn("size", F.sum("c").over(Window.partitionBy("g")))
+    large = counts.groupBy("g").agg(F.sum("c").alias("size")).where(F.col("size") > least).select("g")
+    sizes = counts.join(large, "g").withColumn("above", F.sum("c").over(down.rowsBetween(Window.unboundedPreceding, -1)))
     # the lowest bin still needed: all bins before which fewer than SPARE * n rows lie
-    thresholds = (
-        sizes.where((F.col("size") > least) & (F.coalesce("above", F.lit(0)) < SPARE * n)).groupBy("g").agg(F.min("b").alias("least"))
-    )
+    thresholds = written(sizes.where(F.coalesce("above", F.lit(0)) < SPARE * n).groupBy("g").agg(F.min("b").alias("least")))  # LARGE_GROUPS rows at most
     kept = binned.join(F.broadcast(thresholds), "g", "left").where(F.col("least").isNull() | (F.col("b") >= F.col("least")))
     best = kept.groupBy("g", "i").agg(F.max("s").alias("s"), F.max(F.col("least").isNotNull()).alias("cut"))
     order = Window.partitionBy("g").orderBy(F.desc("s"), F.asc("i"))
-    ranked = best.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= n)
+    ranked = written(best.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= n))
 
-    # groups that were cut and are left with fewer than n items: again, from all rows
-    short = ranked.where("cut").groupBy("g").agg(F.max("rnk").alias("m")).where(F.col("m") < n).select("g")
-    again = rows.join(F.broadcast(short), "g", "left_semi").groupBy("g", "i").agg(F.max("s").alias("s"))
-    again = again.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= n)
-    whole = ranked.join(F.broadcast(short), "g", "left_anti").select("g", "i", "s", "rnk")
-    return whole.unionByName(again).select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), F.col("rnk").cast("int").alias("rnk"))
+    # groups that were cut and are left with fewer than n items, of which there are few: again, from all rows
+    short = written(ranked.where("cut").groupBy("g").agg(F.max("rnk").alias("m")).where(F.col("m") < n).select("g"))
+    whole = ranked.select("g", "i", "s", "rnk")
+    if not short.isEmpty():
+        again = rows.join(F.broadcast(short), "g", "left_semi").groupBy("g", "i").agg(F.max("s").alias("s"))
+        again = again.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= n)
+        whole = whole.join(F.broadcast(short), "g", "left_anti").unionByName(again)
+    return whole.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), F.col("rnk").cast("int").alias("rnk"))
