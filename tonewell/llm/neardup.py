@@ -28,8 +28,9 @@ from .sets import MIN_WORDS, THRESHOLD, member_pairs, verified, with_words
 
 BANDS = 24
 ROWS = 4
-#: Bands and rows for texts that are hashed whole.
-WHOLE = (30, 6)
+#: Bands and rows for texts that are hashed whole, and the bands that do where the other words may agree by UNSURE at least.
+WHOLE = (40, 6)
+FEW = 20
 #: Bits of the signature that must agree: each does with (1 + similarity) / 2, so at 0.75 about 3 in a million pairs have fewer.
 AGREE = 44
 CENTRES = 3
@@ -39,6 +40,7 @@ COMMON = 0.1
 LEAST = 4
 #: Similarity of the other words from which the bands alone find nearly every pair (0.998 at that similarity, more above).
 SAFE = 0.7
+UNSURE = 0.6
 #: Members of a bucket in one batch from which the batch makes its star.
 FULL = 16
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -117,14 +119,18 @@ def star_candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 # agree by 1 - size * (1 - threshold) / left at least, so of two that may agree less, both are hashed whole
                 edits = size * (1 - threshold)
                 unsafe = left < np.maximum(LEAST + edits, edits / (1 - SAFE))
+                far = left < np.maximum(LEAST + edits, edits / (1 - UNSURE))
                 for chosen, kept, (bands, rows), seed in ((left >= LEAST, other, (BANDS, ROWS), 1), (unsafe, np.ones(len(flat), bool), WHOLE, 2)):
                     n = int(chosen.sum())
                     if n:
                         number = np.cumsum(chosen) - 1
                         take = kept & chosen[owner]
                         k = band_keys(flat[take], number[owner[take]], n, bands, rows, seed)
-                        keys.append(k.ravel().view(np.int64))
-                        owners.append(np.repeat(ids[chosen], bands))
+                        sent = np.ones(k.shape, bool)
+                        if seed == 2:
+                            sent[:, FEW:] = far[chosen][:, None]
+                        keys.append(k[sent].view(np.int64))
+                        owners.append(np.repeat(ids[chosen], sent.sum(1)))
                 if not keys:
                     continue
                 key, owner = np.concatenate(keys), np.concatenate(owners)
