@@ -26,19 +26,21 @@ from ..session import written
 from .components import components
 from .sets import MIN_WORDS, THRESHOLD, member_pairs, verified, with_words
 
-BANDS = 24
-ROWS = 4
-#: Bands and rows for texts that are hashed whole, and the bands that do where the other words may agree by UNSURE at least.
-WHOLE = (40, 6)
-FEW = 20
+BANDS = 30
+ROWS = 5
+#: Bands and rows for texts that are hashed whole.
+WHOLE = (36, 6)
+#: Bands of either kind that are sent where the other kind does most: of the whole text if its other words must agree by UNSURE,
+#: without the common words if they need not.
+FEW = 16
 #: Bits of the signature that must agree: each does with (1 + similarity) / 2, so at 0.75 about 3 in a million pairs have fewer.
 AGREE = 44
 CENTRES = 3
 #: Words in more than this share of the texts are left out of the hashing; at most (words a text) / COMMON such.
-COMMON = 0.1
+COMMON = 0.25
 #: Other words that a text must have to be hashed without the common ones.
 LEAST = 4
-#: Similarity of the other words from which the bands alone find nearly every pair (0.998 at that similarity, more above).
+#: Similarity of the other words from which the bands alone find nearly every pair (0.996 at that similarity, more above).
 SAFE = 0.7
 UNSURE = 0.6
 #: Members of a bucket in one batch from which the batch makes its star.
@@ -127,8 +129,8 @@ def star_candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                         take = kept & chosen[owner]
                         k = band_keys(flat[take], number[owner[take]], n, bands, rows, seed)
                         sent = np.ones(k.shape, bool)
-                        if seed == 2:
-                            sent[:, FEW:] = far[chosen][:, None]
+                        few = far if seed == 1 else ~far
+                        sent[few[chosen], FEW:] = False
                         keys.append(k[sent].view(np.int64))
                         owners.append(np.repeat(ids[chosen], sent.sum(1)))
                 if not keys:
@@ -241,7 +243,7 @@ def near_groups(tables: dict[str, tuple[DataFrame, Column, Column]], threshold:
     copied = hashed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     # copies alone are named: nearly every text is its class
     members = written(hashed.join(copied.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep").distinct())
-    sets = written(worded.join(members.where("id <> rep").select("id"), "id", "left_anti").select("id", "part", "words"))
+    sets = worded.join(members.where("id <> rep").select("id"), "id", "left_anti").select("id", "part", "words")
     nodes = written(components(written(near_links(sets, threshold))).select(F.col("id").alias("rep"), F.col("component").alias("group")))
     copies = members.join(nodes, "rep", "left").select("id", "rep", F.coalesce("group", "rep").alias("group"))
     copied_reps = copies.where("id <> rep").select("rep").distinct()
