@@ -32,9 +32,9 @@ ROWS = 5
 WHOLE = (36, 6)
 #: Bands of either kind that are sent where the other kind does most: of the whole text if its other words must agree by UNSURE,
 #: without the common words if they need not.
-FEW = 16
-#: Bits of the signature that must agree: each does with (1 + similarity) / 2, so at 0.75 about 3 in a million pairs have fewer.
-AGREE = 44
+FEW = 14
+#: Bits of the signature that must agree: each does with (1 + similarity) / 2, so at 0.75 about 2 in 100,000 pairs have fewer.
+AGREE = 45
 CENTRES = 3
 #: Words in more than this share of the texts are left out of the hashing; at most (words a text) / COMMON such.
 COMMON = 0.25
