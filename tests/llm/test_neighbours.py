@@ -96,3 +96,18 @@ def test_a_third_of_all_rows_in_one_crowd(spark, monkeypatch):
     np.fill_diagonal(c, -1)
     want = {(i, int(j)) for i, top in enumerate(np.argsort(-c, axis=1, kind="stable")[:, :5]) for j in top}
     assert len(want & have) >= 0.95 * len(want)
+
+
+def test_copies_of_one_vector_and_equal_places_are_spread(spark, monkeypatch):
+    """Half the rows are one vector, the rest lie in two bundles that are cut into many partitions."""
+    monkeypatch.setattr(N, "COPIES", 7)
+    monkeypatch.setattr(N, "WINDOW", 8)
+    monkeypatch.setattr(N, "PARTITION_ROWS", 40)
+    rng = np.random.default_rng(12)
+    rows = [(i, "a", np.ones(8)) for i in range(150)] + [(200 + i, "ab"[i % 2], np.ones(8) + 0.3 * rng.standard_normal(8)) for i in range(300)] + [(600, "single", np.ones(8))]
+    df = table(spark, rows)
+    placed = N._placed(df.select("vec_id", "bundle", "embedding"), 2, 8, 8)
+    assert placed.rdd.getNumPartitions() > 8
+    assert placed.groupBy("bundle").agg({"vec_id": "count"}).count() == 3 and placed.select("vec_id").distinct().count() == len(rows)
+    want, have = brute(rows, 5, 0.85, 8), got(N.similar_vectors(df, k=5, least=0.85, dim=8))
+    assert {w for w in want if w[0] < 150} <= have and len(want & have) >= 0.95 * len(want)

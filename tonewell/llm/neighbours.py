@@ -2,7 +2,7 @@
 
 Every usable vector is projected to `DIMS` directions, each spread evenly over the cells of a grid, and put on
 `ORDERINGS` Hilbert curves; each ordering turns and shifts the projection anew. Rows of an ordering are range
-partitioned by their place on the curve, and a window of `WINDOW` rows is compared with itself and the next
+partitioned by their place on the curve (bounds come from a sample), and a window of `WINDOW` rows is compared with itself and the next
 one in one matrix product. To spare the shuffle, rows travel as one byte per part; the bytes decide only which
 pairs are computed exactly. A row keeps all its partners of a window up to `KEEP`; the partners of all orderings
 merge, and exact double precision cosines rank them again.
@@ -17,6 +17,7 @@ Vectors that repeat exactly are one class, searched once, however many there are
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,11 @@ CROWD = 16_384
 SLICE = 256
 #: A cosine from bytes is off by less than this.
 SLACK = 0.006
+#: Vectors that bounds of partitions are taken from at most, and rows of a partition from which more partitions are made than the session has.
+BOUND_ROWS = 8_192
+PARTITION_ROWS = 500_000
+#: Copies of one vector that one task gives their partners.
+COPIES = 20_000
 #: Vectors that a spread is fitted on at most; every row is indexed.
 FIT_ROWS = 100_000
 SEED = 7
@@ -118,28 +124,91 @@ def _spread(vectors: DataFrame, turns: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mean, np.sqrt(np.maximum(q / n - mean * mean, 1e-12))
 
 
-def _placed(vectors: DataFrame, orderings: int, dim: int, whole: bool = False) -> DataFrame:
-    """bundle, ordering, place and its finer half, vec_id, code: each vector once for each ordering; code is bytes, or `whole` floats."""
+def _keys(place: np.ndarray, finer: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Place, its finer half and key as strings of bytes that sort as they do."""
+    parts = [place.astype(">u8"), finer.astype(">u8"), (ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8")]
+    return np.ascontiguousarray(np.stack(parts, axis=1)).view("S24").ravel()
+
+
+def _bounds(sample: pd.DataFrame, rows: int, window: int, most: int) -> tuple[dict[tuple[str, int], tuple[int, np.ndarray, np.ndarray]], int]:
+    """How the runs are cut into partitions, and how many there are: for each bundle and ordering the first partition, the
+    keys that the next ones start at, and for each of those the key up to which its rows go to the partition before, too.
+
+    `sample` has bundle, ordering, place, finer and vec_id of some vectors, `rows` are all rows that will come.
+    """
+    out: dict[tuple[str, int], tuple[int, np.ndarray, np.ndarray]] = {}
+    first = 0
+    for name, run in sample.groupby(["bundle", "ordering"], sort=True):
+        keys = np.sort(_keys(run["place"].to_numpy(), run["finer"].to_numpy(), run["vec_id"].to_numpy()))
+        expected = rows * len(keys) / len(sample)
+        parts = int(max(1, min(expected // (4 * window), max(1, most * len(keys) / len(sample)), len(keys))))
+        at = (np.arange(1, parts) * len(keys)) // parts
+        step = int(np.ceil(window * len(keys) / max(1.0, expected)))
+        out[name] = (first, keys[at], keys[np.minimum(at + step, len(keys) - 1)])
+        first += parts
+    return out, max(1, first)
+
+
+def _placed(vectors: DataFrame, orderings: int, dim: int, window: int = WINDOW, whole: bool = False) -> DataFrame:
+    """bundle, ordering, place and its finer half, vec_id, code: each vector once for each ordering, in partitions that are sorted along the curves.
+
+    code is bytes, or `whole` floats. Bounds of the partitions come from BOUND_ROWS vectors at most; a bound lies between two
+    rows even if their places are equal. The first window of a partition is given to the one before as well, so that
+    neighbouring windows meet wherever a run is cut.
+    """
     turns, shifts = _turns(dim, orderings)
     mean, deviation = _spread(vectors, turns)
     width = turns.shape[1] // orderings
 
+    def placed(part: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        x = _unit(part["embedding"])
+        even = 1.0 / (1.0 + np.exp(-1.702 * ((x @ turns - mean) / deviation)))
+        cells = np.minimum((even * 0.75 + shifts) * (1 << 2 * BITS), (1 << 2 * BITS) - 1).astype(np.uint32)
+        for o in range(orderings):
+            g = _gray(cells[:, o * width : (o + 1) * width], 2 * BITS)
+            yield o, _interleaved(g, 2 * BITS, BITS), _interleaved(g, BITS, 0), x
+
+    def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if len(part):
+                for o, place, finer, _ in placed(part):
+                    yield pd.DataFrame({"bundle": part["bundle"], "ordering": np.full(len(part), o, np.int32), "place": place, "finer": finer, "vec_id": part["vec_id"]})
+
+    count = vectors.count()
+    share = min(1.0, BOUND_ROWS / max(1, count))
+    few = vectors.where(F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
+    known = few.mapInPandas(sampled, "bundle string, ordering int, place long, finer long, vec_id long").toPandas()  # BOUND_ROWS * orderings rows
+    rows = count * orderings
+    most = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // PARTITION_ROWS)
+    bounds, parts = _bounds(known, rows, window, most)
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), 4096):
                 part = batch.iloc[start : start + 4096]
-                x = _unit(part["embedding"])
-                if whole:
-                    codes = [np.asarray(v, np.float32).tobytes() for v in part["embedding"]]
-                else:
-                    codes = [c.tobytes() for c in np.rint(x * (127.0 / np.abs(x).max(1, keepdims=True))).astype(np.int8)]
-                even = 1.0 / (1.0 + np.exp(-1.702 * ((x @ turns - mean) / deviation)))
-                cells = np.minimum((even * 0.75 + shifts) * (1 << 2 * BITS), (1 << 2 * BITS) - 1).astype(np.uint32)
-                for o in range(orderings):
-                    x = _gray(cells[:, o * width : (o + 1) * width], 2 * BITS)
-                    yield pd.DataFrame({"bundle": part["bundle"].to_numpy(), "ordering": np.full(len(part), o, np.int32), "place": _interleaved(x, 2 * BITS, BITS), "finer": _interleaved(x, BITS, 0), "vec_id": part["vec_id"].to_numpy(), "code": codes})
-
-    return vectors.mapInPandas(make, "bundle string, ordering int, place long, finer long, vec_id long, code binary")
+                bundle, ids, codes = part["bundle"].to_numpy(), part["vec_id"].to_numpy(), None
+                for o, place, finer, x in placed(part):
+                    if codes is None:
+                        if whole:
+                            codes = np.array([np.asarray(v, np.float32).tobytes() for v in part["embedding"]], object)
+                        else:
+                            codes = np.array([c.tobytes() for c in np.rint(x * (127.0 / np.abs(x).max(1, keepdims=True))).astype(np.int8)], object)
+                    keys = _keys(place, finer, ids)
+                    target, before = np.zeros(len(part), np.int32), np.full(len(part), -1, np.int32)
+                    for name in np.unique(bundle):
+                        mine = np.flatnonzero(bundle == name)
+                        first, cuts, ends = bounds.get((name, o), (zlib.crc32(f"{name}/{o}".encode()) % parts, np.array([], "S24"), None))
+                        p = np.searchsorted(cuts, keys[mine], "right")
+                        target[mine] = first + p
+                        inner = np.flatnonzero(p)
+                        early = inner[keys[mine[inner]] < ends[p[inner] - 1]] if len(inner) else inner
+                        before[mine[early]] = first + p[early] - 1
+                    again = np.flatnonzero(before >= 0)
+                    at = np.r_[np.arange(len(part)), again]
+                    yield pd.DataFrame({"target": np.r_[target, before[again]], "bundle": bundle[at], "ordering": np.full(len(at), o, np.int32), "place": place[at], "finer": finer[at], "vec_id": ids[at], "code": codes[at]})
+
+    made = vectors.mapInPandas(make, "target int, bundle string, ordering int, place long, finer long, vec_id long, code binary")
+    return made.repartitionById(parts, "target").sortWithinPartitions("bundle", "ordering", "place", "finer", "vec_id").drop("target")
 
 
 def _by_bytes(least: float, keep: int):
@@ -249,13 +318,7 @@ def _within_crowds(crowd: DataFrame, k: int, least: float, dim: int, orderings:
     if largest is None:
         return None
     # two windows meet in any ordering, so one is enough for them
-    near = (
-        _placed(crowd, 1 if largest <= 2 * CROWD else orderings, dim, whole=True)
-        .repartition("bundle", "ordering")
-        .sortWithinPartitions("bundle", "ordering", "place", "finer", "vec_id")
-        .select("bundle", "ordering", "vec_id", "code")
-        .mapInPandas(_windows(_by_value(least, k + 1), CROWD, np.float32), FOUND)
-    )
+    near = _placed(crowd, 1 if largest <= 2 * CROWD else orderings, dim, CROWD, whole=True).select("bundle", "ordering", "vec_id", "code").mapInPandas(_windows(_by_value(least, k + 1), CROWD, np.float32), FOUND)
     top = Window.partitionBy("src").orderBy(F.desc("score"), F.asc("dst"))
     merged = near.groupBy("src", "dst").agg(F.max("score").alias("score"))
     return merged.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).select("src", "dst")
@@ -278,13 +341,7 @@ def similar_vectors(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = 9
     vectors = rows.join(members.where("vec_id <> rep").select("vec_id"), "vec_id", "left_anti")
 
     keep = max(KEEP, 2 * k)
-    near = (
-        _placed(vectors, orderings, dim)
-        .repartitionByRange("bundle", "ordering", "place", "finer")
-        .sortWithinPartitions("bundle", "ordering", "place", "finer")
-        .select("bundle", "ordering", "vec_id", "code")
-        .mapInPandas(_windows(_by_bytes(least - SLACK, keep), WINDOW, np.int8), FOUND)
-    )
+    near = _placed(vectors, orderings, dim, WINDOW).select("bundle", "ordering", "vec_id", "code").mapInPandas(_windows(_by_bytes(least - SLACK, keep), WINDOW, np.int8), FOUND)
     # merged over the orderings, still directed; a row that is its own partner is marked as crowded
     merged = written(near.groupBy("src", "dst").agg(F.max("score").alias("score")))
     top = Window.partitionBy("src").orderBy(F.desc("score"), F.asc("dst"))
@@ -305,8 +362,13 @@ def similar_vectors(df: DataFrame, k: int = 5, least: float = 0.85, dim: int = 9
     directed = exact.select(F.col("a").alias("src"), F.col("b").alias("dst"), "cosine").unionByName(exact.select(F.col("b").alias("src"), F.col("a").alias("dst"), "cosine"))
     own = members.where("vec_id = rep").select(F.col("rep").alias("src"), F.col("rep").alias("dst"), F.lit(1.0).alias("cosine"))
     others = directed.unionByName(own).join(first, "dst", "left").select("src", F.coalesce("other", "dst").alias("other"), "cosine")
-    all_rows = members.select(F.col("rep").alias("src"), "vec_id")
-    expanded = others.join(all_rows, "src", "left").select(F.coalesce("vec_id", "src").alias("vec_id"), "other", "cosine").where("vec_id <> other")
+    # k + 1 partners are all that a class can need; copies of one vector are spread over tasks
+    best = Window.partitionBy("src").orderBy(F.desc("cosine"), F.asc("other"))
+    others = others.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).drop("at")
+    sizes = members.groupBy(F.col("rep").alias("src")).agg(F.ceil(F.count("*") / COPIES).cast("int").alias("n"))
+    all_rows = members.select(F.col("rep").alias("src"), "vec_id").join(sizes, "src").select("src", "vec_id", F.pmod(F.xxhash64("vec_id"), "n").cast("int").alias("part"))
+    spread = others.join(sizes, "src", "left").select("src", "other", "cosine", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)).alias("part"))
+    expanded = spread.join(all_rows, ["src", "part"], "left").select(F.coalesce("vec_id", "src").alias("vec_id"), "other", "cosine").where("vec_id <> other")
     ranked = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), F.asc("other"))
     return expanded.withColumn("rnk", F.row_number().over(ranked)).where(F.col("rnk") <= k)
 
