@@ -111,13 +111,29 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(_mix(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def _mix_by_characters(spark: SparkSession, folder: str) -> DataFrame:
+    sized = table(spark, folder, "documents").select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("tokens"))
+    return mixing.mixture(sized, table(spark, folder, "mix_targets"))
+
+
+def p9_mix_by_characters(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix with sizes in characters, which SQL can count as well."""
+    return _mix_by_characters(spark, folder).select("doc_id", "source", "repeat", "tokens", F.round("finish", 3).alias("finish"))
+
+
+def p9_shares_by_characters(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of every source, with sizes in characters."""
+    s = mixing.shares(_mix_by_characters(spark, folder), table(spark, folder, "mix_targets"))
+    return s.select("source", F.round("target_share", 9).alias("target_share"), F.round("actual_share", 9).alias("actual_share"), "tokens", "documents", "most_repeats")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     shares = stuffed.stuffed(table(spark, folder, "documents"), "doc_id", "text")
     return shares.where(F.col("share") > stuffed.MOST).select("doc_id")
 
 
 def queries() -> dict[str, Query]:
-    made = [p1_found, p1_similar, p2_found, p3_found, p4_found, p4_terms, p4_ngrams, p5_found, p5_containment, p5_report, p6_found, p6_groups, p8_ids, p9_mix, p9_shares, p10_found]
+    made = [p1_found, p1_similar, p2_found, p3_found, p4_found, p4_terms, p4_ngrams, p5_found, p5_containment, p5_report, p6_found, p6_groups, p8_ids, p9_mix, p9_shares, p9_mix_by_characters, p9_shares_by_characters, p10_found]
     return {f.__name__: f for f in made}
 
 
@@ -150,6 +166,20 @@ WITH RECURSIVE r AS (
 """
 
 
+_MIX = """
+WITH t AS (SELECT source, max({'w': target_weight, 'r': max_repeats}) AS t FROM mix_targets
+           WHERE source IS NOT NULL AND target_weight > 0 AND NOT isnan(target_weight) AND max_repeats >= 1 GROUP BY source),
+     d AS (SELECT doc_id, source, CAST(length(text) AS BIGINT) AS tokens, t.w AS w, t.r AS r, CAST('0x' || substr(md5('0/' || doc_id), 1, 10) AS BIGINT) AS place
+           FROM documents JOIN t USING (source) WHERE length(text) > 0),
+     l AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY place, doc_id) AS upto, sum(tokens) OVER (PARTITION BY source) AS whole FROM d),
+     s AS (SELECT source, any_value(w) AS w, any_value(whole) * any_value(r) AS n FROM l GROUP BY source),
+     o AS (SELECT *, n / w AS dry, sum(w) OVER (ORDER BY n / w, w) AS spent, sum(w) OVER () AS all_w FROM s),
+     e AS (SELECT coalesce(min(dry) FILTER (spent > 0.05 * all_w), max(dry)) AS stop FROM o),
+     b AS (SELECT floor(sum(least(n, stop * w))) AS most FROM s, e),
+     p AS (SELECT doc_id, source, CAST(k.repeat AS INT) AS repeat, tokens, ((k.repeat - 1) * whole + upto) / w AS finish FROM l, e, unnest(range(1, r + 1)) AS k(repeat) WHERE ((k.repeat - 1) * whole + upto) / w <= stop),
+     c AS (SELECT *, sum(tokens) OVER (ORDER BY finish, source, doc_id) AS running FROM p),
+     mix AS (SELECT doc_id, source, repeat, tokens, finish FROM c, b WHERE running <= most)
+"""
 _SIMILAR = """
 WITH v AS (SELECT vec_id, bundle, embedding::DOUBLE[] AS e FROM clip_vectors
            WHERE bundle IS NOT NULL AND len(embedding) = 96 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
@@ -182,6 +212,11 @@ SELECT term, CAST(n AS INT) AS n, count(*) AS occurrences, count(DISTINCT record
 SELECT e.split AS eval_split, e.source AS eval_source, t.split AS train_split, t.source AS train_source, count(*) AS pairs, count(DISTINCT e.id) AS eval_records,
        CAST(sum(near) AS BIGINT) AS near_pairs, CAST(sum(same_sound) AS BIGINT) AS same_sound_pairs
 FROM p JOIN e ON p.e = e.id JOIN t ON p.t = t.id GROUP BY ALL""",
+        "p9_mix_by_characters": _MIX + "SELECT doc_id, source, repeat, tokens, round(finish, 3) AS finish FROM mix",
+        "p9_shares_by_characters": _MIX + """
+SELECT t.source, round(t.t.w / sum(t.t.w) OVER (), 9) AS target_share, round(coalesce(g.n, 0) / greatest(sum(coalesce(g.n, 0)) OVER (), 1), 9) AS actual_share,
+       CAST(coalesce(g.n, 0) AS BIGINT) AS tokens, coalesce(g.c, 0) AS documents, coalesce(g.m, 0) AS most_repeats
+FROM t LEFT JOIN (SELECT source, sum(tokens) AS n, count(*) AS c, max(repeat) AS m FROM mix GROUP BY source) g ON t.source = g.source""",
         "p6_groups": _GROUPS + 'SELECT table_name, a AS id, min(b) AS "group" FROM reach GROUP BY ALL',
         "p6_found": _GROUPS + "SELECT table_name, a AS id_a, b AS id_b FROM reach WHERE a < b",
     }
