@@ -68,12 +68,17 @@ def best_match(pairs: DataFrame, by: str = "a", other: str = "b") -> DataFrame:
     return pairs.groupBy(by).agg(F.max_by(F.struct(other, "jaccard"), F.struct("jaccard", (-F.col(other)).alias("_o"))).alias("m")).select(by, F.col("m")[other].alias(other), F.col("m.jaccard").alias("jaccard"))
 
 
-def similar_examples(queries: DataFrame, pool: DataFrame, k: int, blocks: int = 64) -> DataFrame:
+#: Rows of the pool that one block of similar_examples holds, about.
+POOL_BLOCK = 2_000
+
+
+def similar_examples(queries: DataFrame, pool: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """a, b, jaccard, pos: the k rows of `pool` most similar to each query (id, terms), ties by smaller id.
 
     Rows that share nothing still count, with 0, so every query meets every row: a stated set of queries against
-    all rows, in `blocks` of the pool, each giving k rows a query before the merge.
+    all rows, in blocks of the pool, as many as its size asks for, each giving k rows a query before the merge.
     """
+    blocks = blocks or max(1, math.ceil(pool.count() / POOL_BLOCK))
     q = queries.select(F.col("id").alias("a"), F.array_distinct("terms").alias("ta"))
     p = pool.select(F.col("id").alias("b"), F.array_distinct("terms").alias("tb")).withColumn("_g", F.pmod(F.xxhash64("b"), F.lit(blocks)))
     spread = q.withColumn("_g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))

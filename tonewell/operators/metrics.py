@@ -28,14 +28,19 @@ def dcg(rank: Column | str) -> Column:
     return F.avg(F.lit(1.0) / F.log2(col(rank) + F.lit(1.0)))
 
 
-def all_metrics(ranks: DataFrame, *by: str, ks: Sequence[int] = KS, rank: str = "rank", digits: int = 6, empty: float | None = None) -> DataFrame:
+def all_metrics(ranks: DataFrame, *by: str, ks: Sequence[int] = KS, rank: str = "rank", digits: int = 6, empty: float | str | None = None, sums: Sequence[int] | None = None) -> DataFrame:
     """One row (per value of `by`): n, recalls, mrr, dcg and rsum, rounded.
 
-    Without ranks the values are `empty`: null, or 0.0 for callers that report zeros.
+    Without ranks the values are `empty`: null, 0.0 for callers that report zeros, or `skip` for no row at all. rsum adds
+    the recalls of `sums`, by default all; one that is not among `ks` adds 0.
     """
     made = {f"r_at_{k}": recall_at(rank, k) for k in ks} | {"mrr": mrr(rank), "dcg": dcg(rank)}
     out = ranks.groupBy(*by).agg(F.count(rank).alias("n"), *[m.alias(k) for k, m in made.items()])
-    out = out.withColumn("rsum", sum((F.col(f"r_at_{k}") for k in ks[1:]), F.col(f"r_at_{ks[0]}")))
+    added = [k for k in (ks if sums is None else sums) if k in ks]
+    zero = F.when(F.col("n") > 0, F.lit(0.0))
+    out = out.withColumn("rsum", sum((F.col(f"r_at_{k}") for k in added[1:]), F.col(f"r_at_{added[0]}")) if added else zero)
+    if empty == "skip":
+        out, empty = out.where("n > 0"), None
     names = [*made, "rsum"]
     fill = (lambda c: F.coalesce(c, F.lit(empty))) if empty is not None else (lambda c: c)
     return out.select(*by, "n", *[F.round(fill(F.col(c)), digits).alias(c) for c in names])
@@ -67,22 +72,26 @@ def report_line(precision: int = 2) -> Column:
     return F.concat_ws(" | ", *parts)
 
 
-def cross_entropy(queries: DataFrame, gallery: DataFrame, truth: DataFrame, temperature: float = 0.07) -> DataFrame:
-    """loss: mean softmax cross entropy of the true row (pairs a, b) over the whole gallery."""
+def cross_entropy(queries: DataFrame, gallery: DataFrame, truth: DataFrame, temperature: float = 0.07, masked: DataFrame | None = None) -> DataFrame:
+    """loss: mean softmax cross entropy of the true row (pairs a, b) over the whole gallery, without the `masked` pairs (a, b)."""
     from .similarity import best_of_pairs, log_sum_exp
 
     best = best_of_pairs(truth.select("a", "b"), queries, gallery, "a").withColumnRenamed("a", "id")
     asked = queries.join(best.select("id"), "id", "left_semi")
-    return log_sum_exp(asked, gallery, temperature).join(best, "id").agg(F.round(F.avg(F.col("lse") - F.col("best") / temperature), 6).alias("loss"))
+    return log_sum_exp(asked, gallery, temperature, masked).join(best, "id").agg(F.round(F.avg(F.col("lse") - F.col("best") / temperature), 6).alias("loss"))
 
 
-def info_nce(a: DataFrame, b: DataFrame, temperature: float = 0.07, symmetric: bool = True) -> DataFrame:
-    """loss of a batch whose rows of equal id are positives, from one side or as the mean of both."""
+def info_nce(a: DataFrame, b: DataFrame, temperature: float = 0.07, symmetric: bool = True, blacklist: DataFrame | None = None) -> DataFrame:
+    """loss of a batch whose rows of equal id are positives, from one side or as the mean of both.
+
+    `blacklist` holds unordered pairs a, b of ids that are no negatives of each other; a positive always counts.
+    """
     truth = a.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    one = cross_entropy(a, b, truth, temperature)
+    masked = None if blacklist is None else blacklist.select("a", "b").unionAll(blacklist.select("b", "a")).where("a <> b").distinct()
+    one = cross_entropy(a, b, truth, temperature, masked)
     if not symmetric:
         return one
-    return one.unionAll(cross_entropy(b, a, truth, temperature)).agg(F.round(F.avg("loss"), 6).alias("loss"))
+    return one.unionAll(cross_entropy(b, a, truth, temperature, masked)).agg(F.round(F.avg("loss"), 6).alias("loss"))
 
 
 def slap(pairs: DataFrame, weight: float = 0.5) -> DataFrame:
@@ -101,19 +110,13 @@ def softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
-def logistic_softplus(scores: DataFrame, temperature: float = 0.07, hardest: float | None = None, least: int = 10) -> DataFrame:
-    """loss of a square score table (q, d, s): softplus of the negated positive plus the mean softplus of negatives.
+def logistic_softplus(a: DataFrame, b: DataFrame, temperature: float = 0.07, hardest: float | None = None, least: int = 10) -> DataFrame:
+    """loss of a batch whose rows of equal id are positives: softplus of the negated positive plus the mean softplus of negatives.
 
     With `hardest`, only that share of the negatives counts, the highest ones, and at least `least` of them.
     """
-    from pyspark.sql import Window
-
-    z = scores.select("q", "d", (F.col("s") / temperature).alias("z"))
-    negative = z.where("q <> d")
-    if hardest is not None:
-        order = Window.partitionBy("q").orderBy(F.desc("z"), F.asc("d"))
-        size = F.count("*").over(Window.partitionBy("q"))
-        keep = F.least(size, F.greatest(F.floor(size * hardest), F.lit(least)))
-        negative = negative.withColumn("_k", keep).withColumn("_r", F.row_number().over(order)).where("_r <= _k")
-    per = negative.groupBy("q").agg(F.avg(softplus(F.col("z"))).alias("neg"))
-    return z.where("q = d").join(per, "q").agg(F.round(F.avg(softplus(-F.col("z")) + F.col("neg")), 6).alias("loss"))
+    from .similarity import best_of_pairs, hardest_softplus
+
+    own = best_of_pairs(a.select(F.col("id").alias("a"), F.col("id").alias("b")), a, b, "a").withColumnRenamed("a", "id")
+    per = hardest_softplus(a, b, temperature, hardest, least)
+    return own.join(per, "id").agg(F.round(F.avg(softplus(-F.col("best") / temperature) + F.col("neg")), 6).alias("loss"))

@@ -98,8 +98,11 @@ def distinct_clips(ranked: DataFrame, k: int, target: DataFrame | None = None) -
     first = ranked.groupBy("id", "clip").agg(F.min_by("score", "pos").alias("score"), F.min("pos").alias("at"))
     order = Window.partitionBy("id").orderBy("at")
     top = first.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).select("id", "clip", "score", "pos")
-    if target is None:
-        return top
+    return top if target is None else with_target(top, target)
+
+
+def with_target(top: DataFrame, target: DataFrame) -> DataFrame:
+    """A ranking of clips (id, clip, score, pos) with the target clip (id, clip) behind it where it is not among them."""
     length = top.groupBy("id").agg(F.max("pos").alias("n"))
     lacking = target.select("id", "clip").join(top.select("id", "clip"), ["id", "clip"], "left_anti").join(length, "id", "left")
     return top.unionByName(lacking.select("id", "clip", F.lit(None).cast("double").alias("score"), (F.coalesce("n", F.lit(0)) + 1).alias("pos")))

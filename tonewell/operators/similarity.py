@@ -1,65 +1,76 @@
-"""Dense similarity of a query set against a gallery, in blocks, reduced before anything leaves a block.
+"""Dense similarity of a query set against a gallery, in cells, reduced before anything leaves a cell.
 
-Both sides are packed into blocks of a bounded number of rows. Every query block meets every gallery block by
-an equi-join on the block number, so the work spreads over all executors whatever the sizes are; one matrix
-product per meeting gives counts or a top k, never the pairs. Scores are doubles, rounded to `DIGITS`, so equal
-vectors tie the same way everywhere.
+Both sides fall into groups of a bounded number of rows, and every query group meets every gallery group in one cell of
+a grid, so a side is copied once for each group of the other and the work spreads over all executors even if one side
+is small. In a cell, slices of the queries are multiplied with the gallery; only counts, a top k, a histogram or a
+log-sum-exp leave it, never the pairs. Scores are doubles, rounded to `DIGITS`, so equal vectors tie the same way everywhere.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGITS = 12
-QUERY_BLOCK = 512
-GALLERY_BLOCK = 2048
-
-
-def _field(name: str) -> Column:
-    """One field of the packed rows."""
-    return F.transform("rows", lambda r: r[name])
-
-
-def _packed(df: DataFrame, prefix: str, block: int, extra: tuple[str, ...] = (), by: str = "id") -> tuple[DataFrame, int]:
-    """`df` (id, vec and extra columns) in blocks of about `block` rows, and their number; rows of one `by` stay together."""
-    blocks = max(1, math.ceil(df.count() / block))
-    # cut by hash, so that no counter runs over all rows
-    cut = df.withColumn("_b", F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int"))
-    packed = cut.groupBy("_b").agg(F.collect_list(F.struct("id", F.col("vec").cast("array<double>").alias("vec"), *extra)).alias("rows"))
-    parts = [_field("id").alias(f"{prefix}_id"), F.flatten(_field("vec")).alias(f"{prefix}_vec")]
-    parts += [_field(c).alias(f"{prefix}_{c}") for c in extra]
-    return packed.select(F.col("_b").alias(f"{prefix}_block"), *parts), blocks
-
-
-def _meetings(queries: DataFrame, gallery: DataFrame, q_extra: tuple[str, ...] = (), g_extra: tuple[str, ...] = (), q_by: str = "id", g_by: str = "id") -> DataFrame:
-    """Every query block with every gallery block."""
-    q, _ = _packed(queries, "q", QUERY_BLOCK, q_extra, q_by)
-    g, n = _packed(gallery, "g", GALLERY_BLOCK, g_extra, g_by)
-    spread = q.withColumn("g_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return spread.join(g, "g_block")
+from ..session import written
 
-
-def _product(row: pd.Series) -> np.ndarray:
-    q = np.asarray(row["q_vec"], np.float64).reshape(len(row["q_id"]), -1)
-    g = np.asarray(row["g_vec"], np.float64).reshape(len(row["g_id"]), -1)
-    return np.round(q @ g.T, DIGITS)
-
-
-def _mapped(meetings: DataFrame, fn: Callable[[pd.Series, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    product = _product
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, row in batch.iterrows():
-                yield fn(row, product(row))
-
-    return meetings.mapInPandas(make, schema)
+DIGITS = 12
+#: Rows of a query group and of a gallery group at most, about, and the queries that are multiplied at once.
+QUERY_GROUP = 4_096
+GALLERY_GROUP = 8_192
+SLICE = 256
+#: Queries of a group at least, below which more cells are not worth their copies.
+LEAST_GROUP = 64
+
+
+def _groups(queries: DataFrame, gallery: DataFrame) -> tuple[int, int]:
+    """How many groups either side falls into; both are counted in one job."""
+    sizes = dict(queries.agg(F.lit("q").alias("s"), F.count("*").alias("n")).unionAll(gallery.agg(F.lit("g").alias("s"), F.count("*").alias("n"))).collect())
+    nq, ng = max(1, math.ceil(sizes["q"] / QUERY_GROUP)), max(1, math.ceil(sizes["g"] / GALLERY_GROUP))
+    wanted = queries.sparkSession.sparkContext.defaultParallelism
+    while nq * ng < wanted and sizes["q"] / nq > 2 * LEAST_GROUP:
+        nq *= 2
+    return nq, ng
+
+
+def _cells(
+    queries: DataFrame, gallery: DataFrame, fn: Callable[[dict, np.ndarray], pd.DataFrame], schema: str, q_extra: tuple[str, ...] = (), g_extra: tuple[str, ...] = (), q_by: str = "id", g_by: str = "id"
+) -> DataFrame:
+    """What `fn` makes of every cell: its columns as q_... and g_... and the scores. Rows of one `q_by` (`g_by`) stay together.
+
+    Rows without a vector take no part.
+    """
+    nq, ng = _groups(queries, gallery)
+
+    def side(df: DataFrame, by: str, extra: tuple[str, ...], own: str, n: int, other: str, m: int) -> DataFrame:
+        # new names for all columns, as both sides may come from one table
+        kept = df.select(F.col("id").alias("id"), F.col("vec").cast("array<double>").alias("vec"), *[F.col(c).alias(c) for c in extra]).where(F.col("vec").isNotNull())
+        # cut by hash, so that no counter runs over all rows
+        mine = kept.withColumn(own, F.pmod(F.xxhash64(F.lit(9), by), F.lit(n)).cast("int"))
+        return mine.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    q = side(queries, q_by, q_extra, "_q", nq, "_g", ng)
+    g = side(gallery, g_by, g_extra, "_g", ng, "_q", nq)
+    step = SLICE if q_by == "id" else QUERY_GROUP
+    digits = DIGITS
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame()
+        x, y = np.stack(left["vec"].to_list()), np.stack(right["vec"].to_list())
+        fixed = {"g_id": right["id"].to_numpy(), **{f"g_{c}": right[c].to_numpy() for c in g_extra}}
+        made = []
+        for start in range(0, len(left), step):
+            part = left.iloc[start : start + step]
+            row = fixed | {"q_id": part["id"].to_numpy(), **{f"q_{c}": part[c].to_numpy() for c in q_extra}}
+            made.append(fn(row, np.round(x[start : start + step] @ y.T, digits)))
+        return pd.concat(made, ignore_index=True)
+
+    return q.groupBy("_q", "_g").cogroup(g.groupBy("_q", "_g")).applyInPandas(meet, schema)
 
 
 def _floor(values: list) -> np.ndarray:
@@ -77,7 +88,7 @@ def count_above(queries: DataFrame, gallery: DataFrame, argsort: bool = False) -
     columns = ["id", "vec", F.col("best").cast("double").alias("best"), F.col("skip").cast("bigint").alias("skip")]
     extra = ("best", "skip", "truth") if argsort else ("best", "skip")
 
-    def fn(row: pd.Series, s: np.ndarray) -> pd.DataFrame:
+    def fn(row: dict, s: np.ndarray) -> pd.DataFrame:
         best = _floor(row["q_best"])[:, None]
         above = s > best
         if argsort:
@@ -90,7 +101,7 @@ def count_above(queries: DataFrame, gallery: DataFrame, argsort: bool = False) -
         return pd.DataFrame({"id": np.asarray(row["q_id"], np.int64), "n": n.astype(np.int64)})
 
     asked = queries.select(*columns, *(["truth"] if argsort else []))
-    parts = _mapped(_meetings(asked, gallery.select("id", "vec"), extra), fn, "id long, n long")
+    parts = _cells(asked, gallery.select("id", "vec"), fn, "id long, n long", extra)
     return parts.groupBy("id").agg(F.sum("n").alias("above"))
 
 
@@ -98,10 +109,10 @@ def count_clips_above(queries: DataFrame, captions: DataFrame) -> DataFrame:
     """id, above: how many clips have a caption that scores higher than `best` with each query.
 
     `queries` has id, vec, best and skip (a caption that does not count, or null); `captions` has id, clip and vec. A
-    clip lies in one block whole, so clips are counted where they are scored.
+    clip lies in one group whole, so clips are counted where they are scored.
     """
 
-    def fn(row: pd.Series, s: np.ndarray) -> pd.DataFrame:
+    def fn(row: dict, s: np.ndarray) -> pd.DataFrame:
         ids, clips = np.asarray(row["g_id"], np.int64), np.asarray(row["g_clip"], np.int64)
         place = {v: j for j, v in enumerate(ids.tolist())}
         for i, x in enumerate(row["q_skip"]):
@@ -113,7 +124,7 @@ def count_clips_above(queries: DataFrame, captions: DataFrame) -> DataFrame:
         return pd.DataFrame({"id": np.asarray(row["q_id"], np.int64), "n": (top > _floor(row["q_best"])[:, None]).sum(1).astype(np.int64)})
 
     asked = queries.select("id", "vec", F.col("best").cast("double").alias("best"), F.col("skip").cast("bigint").alias("skip"))
-    parts = _mapped(_meetings(asked, captions.select("id", "clip", "vec"), ("best", "skip"), ("clip",), g_by="clip"), fn, "id long, n long")
+    parts = _cells(asked, captions.select("id", "clip", "vec"), fn, "id long, n long", ("best", "skip"), ("clip",), g_by="clip")
     return parts.groupBy("id").agg(F.sum("n").alias("above"))
 
 
@@ -123,7 +134,7 @@ def count_above_pooled(captions: DataFrame, items: DataFrame) -> DataFrame:
     `captions` has id, clip, vec and best (the same for all captions of a clip); `items` has id and vec.
     """
 
-    def fn(row: pd.Series, s: np.ndarray) -> pd.DataFrame:
+    def fn(row: dict, s: np.ndarray) -> pd.DataFrame:
         clips = np.asarray(row["q_clip"], np.int64)
         order = np.argsort(clips, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(clips[order]) != 0])
@@ -131,31 +142,117 @@ def count_above_pooled(captions: DataFrame, items: DataFrame) -> DataFrame:
         best = _floor(row["q_best"])[order][first]
         return pd.DataFrame({"clip": clips[order][first], "n": (top > best[:, None]).sum(1).astype(np.int64)})
 
-    parts = _mapped(_meetings(captions.select("id", "clip", "vec", "best"), items.select("id", "vec"), ("clip", "best"), q_by="clip"), fn, "clip long, n long")
+    parts = _cells(captions.select("id", "clip", "vec", "best"), items.select("id", "vec"), fn, "clip long, n long", ("clip", "best"), q_by="clip")
     return parts.groupBy("clip").agg(F.sum("n").alias("above"))
 
 
-def log_sum_exp(queries: DataFrame, gallery: DataFrame, temperature: float) -> DataFrame:
-    """id, lse: log of the summed exponentials of score / temperature over the gallery, merged from blocks by their maxima."""
+def log_sum_exp(queries: DataFrame, gallery: DataFrame, temperature: float, masked: DataFrame | None = None) -> DataFrame:
+    """id, lse: log of the summed exponentials of score / temperature over the gallery, merged from cells by their maxima.
+
+    `masked` names pairs a (query), b (gallery row) that do not count.
+    """
+    some = masked is not None
 
-    def fn(row: pd.Series, s: np.ndarray) -> pd.DataFrame:
+    def fn(row: dict, s: np.ndarray) -> pd.DataFrame:
         z = s / temperature
+        if some:
+            place = {v: j for j, v in enumerate(row["g_id"])}
+            for i, names in enumerate(row["q_mask"]):
+                z[i, [place[v] for v in names if v in place] if names is not None else []] = -np.inf
         m = z.max(1)
-        return pd.DataFrame({"id": np.asarray(row["q_id"], np.int64), "m": m, "e": np.exp(z - m[:, None]).sum(1)})
-
-    parts = _mapped(_meetings(queries.select("id", "vec"), gallery.select("id", "vec")), fn, "id long, m double, e double")
-    items = parts.groupBy("id").agg(F.max("m").alias("top"), F.collect_list(F.struct("m", "e")).alias("p"))  # one entry per gallery block
+        low = np.where(np.isfinite(m), m, 0.0)
+        return pd.DataFrame({"id": np.asarray(row["q_id"], np.int64), "m": m, "e": np.exp(z - low[:, None]).sum(1)})
+
+    asked, extra = queries.select("id", "vec"), ()
+    if some:
+        asked, extra = asked.join(masked.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("mask")), "id", "left"), ("mask",)
+    parts = _cells(asked, gallery.select("id", "vec"), fn, "id long, m double, e double", extra).where(F.col("m") > float("-inf"))
+    items = parts.groupBy("id").agg(F.max("m").alias("top"), F.collect_list(F.struct("m", "e")).alias("p"))  # one entry per gallery group
     total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x["e"] * F.exp(x["m"] - F.col("top")))
     return items.select("id", (F.col("top") + F.log(total)).alias("lse"))
 
 
+#: Bins of the scores from -1 to 1 that find where the hardest negatives end.
+BINS = 2_048
+
+
+def hardest_softplus(queries: DataFrame, gallery: DataFrame, temperature: float, share: float | None, least: int) -> DataFrame:
+    """id, neg: mean softplus of score / temperature over the hardest negatives of each query, rows of other ids than its own.
+
+    The highest `share` of them count, and at least `least`; all do without a share. Cells give histograms with the
+    softplus sum of each bin; only scores of the one bin in which the hardest end are looked at singly.
+    """
+    bins = BINS
+
+    def binned(s: np.ndarray) -> np.ndarray:
+        return np.clip(((s + 1.0) * (bins / 2)).astype(np.int64), 0, bins - 1)
+
+    def negatives(row: dict) -> np.ndarray:
+        return np.asarray(row["q_id"], np.int64)[:, None] != np.asarray(row["g_id"], np.int64)[None, :]
+
+    def histogram(row: dict, s: np.ndarray) -> pd.DataFrame:
+        ok = negatives(row)
+        r, _ = np.nonzero(ok)
+        z, at = s[ok] / temperature, r * bins + binned(s[ok])
+        n = np.bincount(at, minlength=len(s) * bins)
+        total = np.bincount(at, np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))), minlength=len(s) * bins)
+        there = np.flatnonzero(n)
+        return pd.DataFrame({"id": np.asarray(row["q_id"], np.int64)[there // bins], "bin": (there % bins).astype(np.int32), "n": n[there], "total": total[there]})
+
+    q, g = queries.select("id", "vec"), gallery.select("id", "vec")
+    counted = _cells(q, g, histogram, "id long, bin int, n long, total double").groupBy("id", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    down = Window.partitionBy("id").orderBy(F.desc("bin"))
+    size = F.sum("n").over(Window.partitionBy("id"))
+    wanted = size if share is None else F.least(size, F.greatest(F.floor(size * share), F.lit(least)))
+    above = F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counted.select("id", "bin", "n", "total", wanted.cast("long").alias("k"), above.alias("above"))
+    needed = written(placed.where(F.col("above") < F.col("k")))
+    whole = needed.groupBy("id", "k").agg(F.coalesce(F.sum(F.when(F.col("above") + F.col("n") <= F.col("k"), F.col("total"))), F.lit(0.0)).alias("whole"))
+    border = needed.where(F.col("above") + F.col("n") > F.col("k")).select("id", "bin", (F.col("k") - F.col("above")).alias("rest"))
+
+    def inside(row: dict, s: np.ndarray) -> pd.DataFrame:
+        r, c = np.nonzero(negatives(row) & (binned(s) == np.asarray(row["q_bin"])[:, None]))
+        return pd.DataFrame({"id": np.asarray(row["q_id"], np.int64)[r], "z": s[r, c] / temperature})
+
+    values = _cells(q.join(border.select("id", "bin"), "id"), g, inside, "id long, z double", ("bin",))
+    hardest = Window.partitionBy("id").orderBy(F.desc("z"))
+    ranked = values.withColumn("r", F.row_number().over(hardest)).join(border.select("id", "rest"), "id").where("r <= rest")
+    softplus = F.greatest("z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("z")))
+    part = ranked.groupBy("id").agg(F.sum(softplus).alias("part"))
+    return whole.join(part, "id", "left").select("id", ((F.col("whole") + F.coalesce("part", F.lit(0.0))) / F.col("k")).alias("neg"))
+
+
+def top_clips(queries: DataFrame, captions: DataFrame, k: int) -> DataFrame:
+    """id, clip, score, pos: the k clips that a ranking of all captions meets first; equal scores by smaller caption id.
+
+    A clip lies in one gallery group whole, so each cell gives k clips a query at most, whatever the sizes of clips are.
+    """
+
+    def fn(row: dict, s: np.ndarray) -> pd.DataFrame:
+        q, g, clips = np.asarray(row["q_id"], np.int64), np.asarray(row["g_id"], np.int64), np.asarray(row["g_clip"], np.int64)
+        by = np.lexsort((g, clips))
+        first = np.flatnonzero(np.r_[True, np.diff(clips[by]) != 0])
+        best = np.maximum.reduceat(s[:, by], first, axis=1)
+        # the smallest id among the best captions of each clip
+        hit = s[:, by] == np.repeat(best, np.diff(np.r_[first, len(by)]), axis=1)
+        ids = np.minimum.reduceat(np.where(hit, g[by][None, :], np.iinfo(np.int64).max), first, axis=1)
+        m = min(k, len(first))
+        order = np.lexsort((ids, -best), axis=1)[:, :m]
+        named = np.take_along_axis(ids, order, 1).ravel()
+        return pd.DataFrame({"id": np.repeat(q, m), "clip": clips[by][first][order].ravel(), "score": np.take_along_axis(best, order, 1).ravel(), "caption": named})
+
+    parts = _cells(queries.select("id", "vec"), captions.select("id", "clip", "vec"), fn, "id long, clip long, score double, caption long", (), ("clip",), g_by="clip")
+    order = Window.partitionBy("id").orderBy(F.desc("score"), F.asc("caption"))
+    return parts.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).select("id", "clip", "score", "pos")
+
+
 def top_k(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """id, other, score, pos (from 1): the k best gallery rows of each query, equal scores by smaller gallery id.
 
-    k of 0 or less gives all. `exclude_self` leaves out the gallery row with the query's own id.
+    k of 0 or less gives all, for small sets. `exclude_self` leaves out the gallery row with the query's own id.
     """
 
-    def fn(row: pd.Series, s: np.ndarray) -> pd.DataFrame:
+    def fn(row: dict, s: np.ndarray) -> pd.DataFrame:
         q, g = np.asarray(row["q_id"], np.int64), np.asarray(row["g_id"], np.int64)
         by_id = np.argsort(g, kind="stable")
         g, s = g[by_id], s[:, by_id]
@@ -167,7 +264,7 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = F
         made = pd.DataFrame({"id": np.repeat(q, m), "other": g[order].ravel(), "score": value.ravel()})
         return made[made["score"] > -np.inf]
 
-    parts = _mapped(_meetings(queries.select("id", "vec"), gallery.select("id", "vec")), fn, "id long, other long, score double")
+    parts = _cells(queries.select("id", "vec"), gallery.select("id", "vec"), fn, "id long, other long, score double")
     order = Window.partitionBy("id").orderBy(F.desc("score"), F.asc("other"))
     ranked = parts.withColumn("pos", F.row_number().over(order))
     return ranked if k <= 0 else ranked.where(F.col("pos") <= k)

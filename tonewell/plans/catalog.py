@@ -16,7 +16,7 @@ from ..functions import prompts, text
 from ..functions import vectors as V
 from ..operators import matching, metrics, mining, ranking, rerank, splits, tokens
 from ..operators.packed import split_packed
-from ..operators.similarity import top_k
+from ..operators.similarity import top_clips, top_k
 from ..session import table
 from ..streaming.monitor import windowed_metrics
 from . import sql
@@ -193,9 +193,7 @@ def slap_loss(s, d):
 
 @_add
 def logistic_softplus_loss(s, d):
-    a, b = _batch(s, d)
-    scores = top_k(a, b, 0).select(F.col("id").alias("q"), F.col("other").alias("d"), F.col("score").alias("s"))
-    return metrics.logistic_softplus(scores, hardest=0.5)
+    return metrics.logistic_softplus(*_batch(s, d), hardest=0.5)
 
 
 # candidates, mining
@@ -216,9 +214,7 @@ def best_item(s, d):
 def distinct_clip_topk(s, d):
     """The first five clips that an item's ranking of captions meets, its own appended."""
     items, c = _items(s, d), _captions(s, d)
-    most = c.groupBy("clip").count().agg(F.max("count")).first()[0] or 1
-    ranked = top_k(items, c, 5 * most).join(c.select(F.col("id").alias("other"), "clip"), "other")
-    return ranking.distinct_clips(ranked, 5, items.select("id", "clip")).select("id", "clip", F.round("score", 6).alias("score"), "pos")
+    return ranking.with_target(top_clips(items, c, 5), items.select("id", "clip")).select("id", "clip", F.round("score", 6).alias("score"), "pos")
 
 
 @_add
@@ -406,7 +402,7 @@ def inner_join_on_clip(s, d):
 def jaccard_topk_examples(s, d):
     q = table(s, d, "intent_queries").where("query_id % 100 = 0").select(F.col("query_id").alias("id"), text.tokens("original_caption").alias("terms"))
     pool = table(s, d, "captions").select(F.col("record_id").alias("id"), text.tokens("caption_1").alias("terms"))
-    return matching.similar_examples(q, pool, 3, blocks=8).select("a", "b", F.round("jaccard", 6).alias("jaccard"), "pos")
+    return matching.similar_examples(q, pool, 3).select("a", "b", F.round("jaccard", 6).alias("jaccard"), "pos")
 
 
 def _space_terms(c: str) -> Column:
