@@ -160,9 +160,9 @@ def test_listwise_and_missing_target(spark):
 
 
 def test_registry():
-    assert rerank.build(None) is None
+    assert rerankers.build(None) is None
     with pytest.raises(ValueError):
-        rerank.build("pointwise", "unheard")
+        rerankers.build({"enabled": True, "mode": "audio_native_pointwise", "client": {"name": "unheard"}})
 
 
 def test_templates(spark):

@@ -59,9 +59,10 @@ def slug(text: Column | str, default: str = "value") -> Column:
     return F.when((s == "") | s.isNull(), F.lit(default)).otherwise(s)
 
 
-def file_slug(text: Column | str) -> Column:
-    """Letters, digits, '-', '.' and '_' stay as they are, anything else becomes an underscore."""
-    return F.regexp_replace(F.trim(col(text)), r"[^\p{L}\p{N}\-._]", "_")
+def file_slug(text: Column | str, default: str = "value") -> Column:
+    """Letters, digits, '-', '.' and '_' stay as they are, anything else becomes an underscore; none at the ends; `default` if nothing is left."""
+    s = F.regexp_replace(F.regexp_replace(strip(text), r"[^\p{L}\p{N}\-._]", "_"), "^_+|_+$", "")
+    return F.when((s == "") | s.isNull(), F.lit(default)).otherwise(s)
 
 
 def bucket_slug(text: Column | str) -> Column:
@@ -80,31 +81,45 @@ def clip_of_key(key: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(key), r"^[^/]*/", ""), r"_seg0$", "")
 
 
-def parse_score(text: Column | str, default: float = 0.0) -> Column:
-    """The score an answer states: after the last SCORE mark, else its last number, in [0, 1]."""
-    marked = F.regexp_extract_all(col(text), F.lit(r"(?i)score\s*[:=]\s*(-?\d+(?:\.\d+)?)"), F.lit(1))
-    numbers = F.regexp_extract_all(col(text), F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0))
-    last = F.coalesce(F.try_element_at(marked, F.lit(-1)), F.try_element_at(numbers, F.lit(-1)))
-    value = F.coalesce(last.try_cast("double"), F.lit(float(default)))
-    return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
+def parse_score(text: Column | str, default: float = 0.0, how: str = "marked") -> Column:
+    """The score an answer states, `default` if it states none.
+
+    `marked`: after the last SCORE mark, else its last number, brought to [0, 1]. `last`: its last number, brought to
+    [0, 1]. `raw`: its last number as it is.
+    """
+    numbers = F.try_element_at(F.regexp_extract_all(col(text), F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), F.lit(-1))
+    marked = F.try_element_at(F.regexp_extract_all(col(text), F.lit(r"(?i)score\s*:\s*(-?\d+(?:\.\d+)?)"), F.lit(1)), F.lit(-1))
+    found = {"marked": F.coalesce(marked, numbers), "last": numbers, "raw": numbers}[how]
+    value = F.coalesce(found.try_cast("double"), F.lit(float(default)))
+    return value if how == "raw" else F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
+
+
+#: What a listwise answer puts its order into.
+ORDER_REGION = r"(?i)order\s*:?\s*\[?([0-9,\s]+)\]?"
 
 
-def parse_order(text: Column | str, n: Column | int) -> Column:
-    """Zero-based positions an answer lists: those of its ORDER brackets, else every number of it.
+def parse_order(text: Column | str, n: Column | int, how: str = "all", region: str = ORDER_REGION) -> Column:
+    """Zero-based positions that an answer to a list of `n` states; numbers out of range and repetitions fall away.
 
-    Numbers out of range and repetitions fall away; spelled numbers from one to ten count too.
+    Both the ORDER region and the whole text are read, digits before spelled numbers from one to ten. `all`: what the
+    region states, then what the whole text adds. `first`: what the first of both states that states any. `digits`:
+    likewise, without spelled numbers.
     """
     size = F.lit(n) if isinstance(n, int) else n
-    region = F.regexp_extract(col(text), r"(?i)order\s*[:=]?\s*\[([^\]]*)\]", 1)
+    whole = F.coalesce(col(text), F.lit(""))
     spelled = "|".join(NUMBER_WORDS)
 
-    def numbers(c: Column) -> Column:
-        found = F.regexp_extract_all(F.lower(c), F.lit(rf"\b(?:\d+|{spelled})\b"), F.lit(0))
-        value = F.transform(found, lambda t: F.coalesce(t.try_cast("int"), F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), t).cast("int")))
-        return F.array_distinct(F.transform(F.filter(value, lambda v: (v >= 1) & (v <= size)), lambda v: v - 1))
-
-    first = numbers(region)
-    return F.when(F.size(first) > 0, first).otherwise(numbers(F.coalesce(col(text), F.lit(""))))
+    def stated(c: Column) -> Column:
+        digits = F.transform(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0)), lambda t: t.try_cast("int"))
+        if how != "digits":
+            names = F.regexp_extract_all(F.lower(c), F.lit(rf"\b(?:{spelled})\b"), F.lit(0))
+            digits = F.concat(digits, F.transform(names, lambda t: F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), t).cast("int")))
+        return F.array_distinct(F.transform(F.filter(digits, lambda v: (v >= 1) & (v <= size)), lambda v: v - 1))
+
+    inner, outer = stated(F.regexp_extract(whole, region, 1)), stated(whole)
+    if how == "all":
+        return F.array_distinct(F.concat(inner, outer))
+    return F.when(F.size(inner) > 0, inner).otherwise(outer)
 
 
 def complete_order(order: Column, fallback: Column) -> Column:

@@ -103,6 +103,18 @@ def cosine_schedule(steps: int) -> list[float]:
     return [min(0.999, 1 - f[t + 1] / f[t]) for t in range(steps)]
 
 
+def linear_schedule(steps: int, start: float = 1e-3, end: float = 5e-2) -> list[float]:
+    """Noise levels in equal steps."""
+    return [start + (end - start) * t / max(1, steps - 1) for t in range(steps)]
+
+
+def time_embedding(step: Column, dim: int, longest: float = 10_000.0) -> Column:
+    """Sines, then cosines, of a step at dim // 2 falling frequencies; an odd `dim` ends with a zero."""
+    half = dim // 2
+    angles = [step.cast("double") * math.exp(-math.log(longest) * i / half) for i in range(half)]
+    return F.array(*[F.sin(a) for a in angles], *[F.cos(a) for a in angles], *([F.lit(0.0)] if dim % 2 else []))
+
+
 def cumulative_product(df: DataFrame, order: str, value: str) -> Column:
     """Running product of positive values by `order` within one short series."""
     return F.exp(F.sum(F.log(value)).over(Window.partitionBy().orderBy(order)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -14,12 +15,18 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Layer:
-    """x @ weight + bias, then layer normalisation and an activation, each if wanted."""
+    """x @ weight + bias, then layer normalisation (with what it learned, if given) and an activation, each if wanted.
+
+    `residual` adds the input back where the widths agree. Dropout of training has no part in projecting.
+    """
 
     weight: np.ndarray
     bias: np.ndarray | None = None
     norm: bool = False
     activation: str | None = None
+    scale: np.ndarray | None = None
+    shift: np.ndarray | None = None
+    residual: bool = False
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         y = x @ self.weight
@@ -27,13 +34,19 @@ class Layer:
             y = y + self.bias
         if self.norm:
             y = (y - y.mean(1, keepdims=True)) / np.sqrt(y.var(1, keepdims=True) + 1e-5)
+            y = y if self.scale is None else y * self.scale
+            y = y if self.shift is None else y + self.shift
         if self.activation == "relu":
-            return np.maximum(y, 0.0)
-        if self.activation == "tanh":
-            return np.tanh(y)
-        if self.activation not in (None, "linear"):
+            y = np.maximum(y, 0.0)
+        elif self.activation == "tanh":
+            y = np.tanh(y)
+        elif self.activation == "gelu":  # exact, by the error function
+            y = 0.5 * y * (1.0 + np.vectorize(math.erf, otypes=[float])(y / math.sqrt(2.0)))
+        elif self.activation == "silu":
+            y = y / (1.0 + np.exp(-y))
+        elif self.activation not in (None, "linear"):
             raise ValueError(self.activation)
-        return y
+        return y + x if self.residual and x.shape == y.shape else y
 
 
 #: Weights above this many bytes are no head; they are refused, as they would be broadcast.

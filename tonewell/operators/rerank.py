@@ -1,4 +1,7 @@
-"""Second-stage reranking: candidate limits, pointwise and listwise orders, blends, ranks after reranking."""
+"""Second-stage reranking: candidate limits, pointwise and listwise orders, blends, ranks after reranking.
+
+Rerankers by configuration are made in `rerankers`.
+"""
 
 from __future__ import annotations
 
@@ -95,64 +98,3 @@ def hash_score(*parts: Column) -> Column:
 
 
 Reranker = Callable[[DataFrame], DataFrame]
-_REGISTRY: dict[tuple[str, str], Callable[..., Reranker]] = {}
-
-
-def register(mode: str, client: str) -> Callable[[Callable[..., Reranker]], Callable[..., Reranker]]:
-    """Adds a maker of rerankers under a mode and a client name."""
-
-    def add(make: Callable[..., Reranker]) -> Callable[..., Reranker]:
-        _REGISTRY[mode, client] = make
-        return make
-
-    return add
-
-
-def build(mode: str | None, client: str = "hash", **options) -> Reranker | None:
-    """The reranker of a configuration; none for no mode. Unknown names raise ValueError."""
-    if mode in (None, "", "none"):
-        return None
-    if (mode, client) not in _REGISTRY:
-        raise ValueError(f"unknown reranker {mode!r} with client {client!r}; known: {sorted(_REGISTRY)}")
-    return _REGISTRY[mode, client](**options)
-
-
-@register("pointwise", "hash")
-def _pointwise(top_k: int = 50, query_text: str = "query_text", candidate: str = "candidate", kind: str = "audio", weight: float = 1.0) -> Reranker:
-    def run(candidates: DataFrame) -> DataFrame:
-        scored = limit_candidates(candidates, top_k).withColumn("new_score", blend("score", hash_score(F.lit(kind), F.lower(query_text), F.col(candidate)), weight))
-        return reordered(scored, "new_score")
-
-    return run
-
-
-@register("listwise", "hash")
-def _listwise(top_k: int = 50, query_text: str = "query_text", candidate: str = "candidate", kind: str = "audio") -> Reranker:
-    def run(candidates: DataFrame) -> DataFrame:
-        kept = limit_candidates(candidates, top_k).withColumn("new_score", hash_score(F.lit(kind), F.lower(query_text), F.col(candidate)))
-        order = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("new_score")).alias("s"), "pos"))), lambda x: x["pos"] - 1)
-        return from_listing(kept, kept.groupBy("q").agg(order.alias("order")))
-
-    return run
-
-
-@register("vectors", "cosine")
-def _vectors(top_k: int = 50, query_vec: str = "query_vec", candidate_vec: str = "candidate_vec", weight: float = 1.0) -> Reranker:
-    from ..functions.vectors import cosine
-
-    def run(candidates: DataFrame) -> DataFrame:
-        new = F.coalesce(cosine(query_vec, candidate_vec), F.col("score"))
-        return reordered(limit_candidates(candidates, top_k).withColumn("new_score", blend("score", new, weight)), "new_score")
-
-    return run
-
-
-@register("late_interaction", "tokens")
-def _tokens(top_k: int = 50, query_tokens: str = "query_tokens", candidate_tokens: str = "candidate_tokens", reduce: str = "mean", weight: float = 1.0) -> Reranker:
-    from .tokens import maxsim
-
-    def run(candidates: DataFrame) -> DataFrame:
-        new = F.coalesce(F.when(F.size(query_tokens) * F.size(candidate_tokens) > 0, maxsim(query_tokens, candidate_tokens, reduce)), F.col("score"))
-        return reordered(limit_candidates(candidates, top_k).withColumn("new_score", blend("score", new, weight)), "new_score")
-
-    return run

@@ -222,14 +222,18 @@ def hardest_softplus(queries: DataFrame, gallery: DataFrame, temperature: float,
     return whole.join(part, "id", "left").select("id", ((F.col("whole") + F.coalesce("part", F.lit(0.0))) / F.col("k")).alias("neg"))
 
 
-def top_clips(queries: DataFrame, captions: DataFrame, k: int) -> DataFrame:
+def top_clips(queries: DataFrame, captions: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """id, clip, score, pos: the k clips that a ranking of all captions meets first; equal scores by smaller caption id.
 
+    `exclude_self` leaves out the caption with the query's own id.
+
     A clip lies in one gallery group whole, so each cell gives k clips a query at most, whatever the sizes of clips are.
     """
 
     def fn(row: dict, s: np.ndarray) -> pd.DataFrame:
         q, g, clips = np.asarray(row["q_id"], np.int64), np.asarray(row["g_id"], np.int64), np.asarray(row["g_clip"], np.int64)
+        if exclude_self:
+            s = np.where(q[:, None] == g[None, :], -np.inf, s)
         by = np.lexsort((g, clips))
         first = np.flatnonzero(np.r_[True, np.diff(clips[by]) != 0])
         best = np.maximum.reduceat(s[:, by], first, axis=1)
@@ -239,7 +243,8 @@ def top_clips(queries: DataFrame, captions: DataFrame, k: int) -> DataFrame:
         m = min(k, len(first))
         order = np.lexsort((ids, -best), axis=1)[:, :m]
         named = np.take_along_axis(ids, order, 1).ravel()
-        return pd.DataFrame({"id": np.repeat(q, m), "clip": clips[by][first][order].ravel(), "score": np.take_along_axis(best, order, 1).ravel(), "caption": named})
+        made = pd.DataFrame({"id": np.repeat(q, m), "clip": clips[by][first][order].ravel(), "score": np.take_along_axis(best, order, 1).ravel(), "caption": named})
+        return made[made["score"] > -np.inf]
 
     parts = _cells(queries.select("id", "vec"), captions.select("id", "clip", "vec"), fn, "id long, clip long, score double, caption long", (), ("clip",), g_by="clip")
     order = Window.partitionBy("id").orderBy(F.desc("score"), F.asc("caption"))

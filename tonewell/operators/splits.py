@@ -42,8 +42,43 @@ def seeded_sample(n: int, size: int, seed: int) -> list[int]:
 
 def seeded_choice(captions: DataFrame, clip: str, key: str, seed: int) -> DataFrame:
     """One caption per clip, the one with the least hash of seed and key: the same on every run and cluster."""
-    draw = F.struct(F.xxhash64(F.lit(seed), key), F.col(key))
-    return captions.groupBy(clip).agg(F.min_by(F.col(key), draw).alias(key))
+    return chosen_captions(captions, clip, key, seed, 1)
+
+
+def chosen_captions(captions: DataFrame, clip: str, key: str, seed: int, per_clip: int | None) -> DataFrame:
+    """`clip`, `key`: `per_clip` captions of each clip, those of the least hash of key and seed; all for null or 0.
+
+    Text to item alone asks with one caption a clip, together with item to text with all; text to text with one by
+    default. Draws of different tasks take different seeds.
+    """
+    if not per_clip:
+        return captions.select(clip, key)
+    drawn = captions.select(clip, key, hash_unit(F.col(key), seed).alias("_u"))
+    if per_clip == 1:
+        return drawn.groupBy(clip).agg(F.min_by(F.col(key), F.struct("_u", F.col(key))).alias(key))
+    order = Window.partitionBy(clip).orderBy("_u", key)
+    return drawn.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_clip).select(clip, key)
+
+
+def numbered(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
+    """`df` with `name`, its place from 0 in the whole order.
+
+    Ranges of the order are sorted apart and counted, and each starts where those before it end: no task sees all rows.
+    The rows are written once, as their places must not change.
+    """
+    from ..session import written
+
+    low = (1 << 33) - 1
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit(low))))
+    sizes = sorted(placed.groupBy("_p").count().collect())  # one row a partition
+    starts, total = [], 0
+    for p, n in sizes:
+        starts += [F.lit(p), F.lit(total)]
+        total += n
+    if not starts:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    return placed.withColumn(name, (F.create_map(*starts)[F.col("_p")] + F.col("_i")).cast("long")).drop("_p", "_i")
 
 
 def occurrence_keys(df: DataFrame, clip: str, order: str) -> DataFrame:

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts, text
 from ..functions import vectors as V
-from ..operators import matching, metrics, mining, ranking, rerank, splits, tokens
+from ..operators import matching, metrics, mining, project, ranking, rerank, rerankers, splits, tokens
 from ..operators.packed import split_packed
 from ..operators.similarity import top_clips, top_k
 from ..session import table
+from ..sources import readers
 from ..streaming.monitor import windowed_metrics
-from . import sql
+from . import reranked, sql
 from .evaluation import EvaluationConfig, evaluate, evaluate_reranked, task_ranks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,7 +112,7 @@ def clip_level_t2t_rank(s, d):
 
 
 def _negative_ranks(s, d):
-    q, items = _captions(s, d).where("slot = 1"), _items(s, d)
+    q, items = _captions(s, d), _items(s, d)
     n = items.count()
     own = ranking.own_clip(q, items)
     standard = ranking.ranks(q, items, own)
@@ -137,7 +138,7 @@ def negative_rank_gain(s, d):
 
 
 def _by_category(s, d):
-    kinds = F.array(*[F.lit(b) for b in ("Pragmatic", "Subjective", "Contextual", "Negative/Contrastive")])
+    kinds = F.array(*[F.lit(prompts.BUCKETS[k]) for k in ("question", "paraphrase", "imperative", "negative")])
     ranks = ranking.text_to_item(_captions(s, d), _items(s, d))
     return ranks.withColumn("category", F.element_at(kinds, (F.col("id") % 5).cast("int")))
 
@@ -176,8 +177,9 @@ def val_cross_entropy(s, d):
 
 
 def _batch(s, d):
-    one = _captions(s, d).where("slot = 1").select(F.col("clip").alias("id"), "vec")
-    return one, _items(s, d).select("id", "vec")
+    """The mean of each clip's captions, made unit length, and its item."""
+    bank = ranking.centroids(_captions(s, d)).select("id", V.unit("vec").alias("vec"))
+    return bank, _items(s, d).select("id", "vec")
 
 
 @_add
@@ -187,8 +189,9 @@ def infonce_loss(s, d):
 
 @_add
 def slap_loss(s, d):
-    slots = _vectors(s, d).where("slot < 4").groupBy("clip").pivot("slot", [0, 1, 2, 3]).agg(F.first("vec"))
-    return metrics.slap(slots.toDF("clip", "q_text", "q_audio", "z_audio", "z_text"))
+    """The four vectors of a batch row from the five rows of a clip; the last is the mean of two."""
+    slots = _vectors(s, d).groupBy("clip").pivot("slot", [0, 1, 2, 3, 4]).agg(F.first("vec")).toDF("clip", "q_text", "q_audio", "z_audio", "x", "y")
+    return metrics.slap(slots.select("clip", "q_text", "q_audio", "z_audio", F.zip_with("x", "y", lambda x, y: (x + y) / 2).alias("z_text")))
 
 
 @_add
@@ -295,45 +298,140 @@ def neighbor_list_lengths(s, d):
 # reranking
 
 
+def _shown(task: str, c: DataFrame) -> DataFrame:
+    """Candidates with what a reranker reads; every third has no caption."""
+    d = F.col("d").cast("string")
+    caption = F.when(F.col("d") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("Caption "), d))
+    return c.select("*", F.concat(F.lit("Query "), F.col("q").cast("string")).alias("query_text"), F.concat(F.lit("clip_"), d, F.lit(".wav")).alias("audio"), caption.alias("caption"))
+
+
+def _reranker(mode: str, client: str = "mock", top_k: int = 10, weight: float = 1.0, **params) -> rerankers.Configured:
+    return rerankers.build({"enabled": True, "mode": mode, "top_k": top_k, "weight": weight, "client": {"name": client, "params": params}})
+
+
 def _reranked_candidates(s, d):
-    c = top_k(_captions(s, d), _items(s, d), 10).select(F.col("id").alias("q"), F.col("other").alias("d"), "score", "pos")
-    return c.select("*", F.concat(F.lit("Query "), F.col("q").cast("string")).alias("query_text"), F.concat(F.lit("clip_"), F.col("d").cast("string")).alias("candidate"))
+    return _shown("t2a", reranked.candidates("t2a", _captions(s, d), _items(s, d), 10))
 
 
 @_add
 def rerank_pointwise_order(s, d):
-    out = rerank.build("pointwise", top_k=10)(_reranked_candidates(s, d))
+    out = _reranker("audio_native_pointwise")(_reranked_candidates(s, d))
     return out.select("q", "d", "pos", F.round("new_score", 9).alias("new_score"), "new_pos")
 
 
+@_add
+def rerank_caption_order(s, d):
+    """Captions judged, missing ones made up first, blended with the first stage."""
+    out = _reranker("caption_proxy_pointwise", weight=0.5)(_reranked_candidates(s, d))
+    return out.select("q", "d", "caption", F.round("new_score", 9).alias("new_score"), "new_pos")
+
+
 @_add
 def rerank_listwise_order(s, d):
-    return rerank.build("listwise", top_k=10)(_reranked_candidates(s, d)).select("q", "d", "new_pos")
+    return _reranker("audio_native_listwise")(_reranked_candidates(s, d)).select("q", "d", "new_pos")
 
 
-def _after(s, d):
-    base = ranking.text_to_item(_captions(s, d), _items(s, d))
-    targets = base.select(F.col("id").alias("q"), F.floor(F.col("id") / 5).cast("bigint").alias("d"), F.col("rank").alias("baseline_rank"))
-    return rerank.rank_after(rerank.build("pointwise", top_k=10)(_reranked_candidates(s, d)), targets)
+def _lists(s, d):
+    """Listwise answers that state a part of an order."""
+    c = _captions(s, d)
+    n = lambda m: (F.col("id") % m + 1).cast("string")
+    return c.select(F.col("id").alias("q"), F.concat(F.lit("I would say ORDER: ["), n(12), F.lit(", "), n(3), F.lit(", "), n(5), F.lit("], not 2")).alias("answer"))
+
+
+@_add
+def rerank_answered_lists(s, d):
+    """Orders that a model stated, read in the three ways in use."""
+    c, lists = _reranked_candidates(s, d), _lists(s, d)
+    out = None
+    for client in ("answers", "answers_first", "answers_digits"):
+        part = _reranker("caption_proxy_listwise", client, lists=lists)(c).select(F.lit(client).alias("client"), "q", "d", "new_pos")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@_add
+def rerank_answered_scores(s, d):
+    """Scores that a model stated for the odd candidates, 0.5 for those it did not judge."""
+    c = _reranked_candidates(s, d)
+    answers = c.where("d % 2 = 1").select("q", "d", F.concat(F.lit("I am "), (F.col("q") % 9).cast("string"), F.lit(" sure. Score: 0."), (F.col("d") % 10).cast("string")).alias("answer"))
+    return _reranker("audio_native_pointwise", "answers", answers=answers, default=0.5)(c).select("q", "d", "new_score", "new_pos")
+
+
+@_add
+def rerank_alignment_order(s, d):
+    c = _reranked_candidates(s, d)
+    cosines = c.where("d % 4 <> 0").select("q", "d", (F.pmod(F.col("q") * 7 + F.col("d") * 3, F.lit(20)) / 10.0 - 1.0).alias("cosine"))
+    return _reranker("audio_native_pointwise", "alignment", cosines=cosines)(c).select("q", "d", F.round("new_score", 6).alias("new_score"), "new_pos")
+
+
+@_add
+def rerank_text_vector_order(s, d):
+    """Captions judged by the vectors of their texts; queries and captions of even numbers have none."""
+    e = table(s, d, "embeddings").where("vec_id % 2 = 1")
+    named = [e.select(F.concat(F.lit(n), F.col("vec_id").cast("string")).alias("text"), F.col("embedding").alias("vec")) for n in ("query ", "CAPTION  ")]
+    out = _reranker("caption_proxy_pointwise", "text_embedding_caption", vectors=named[0].unionByName(named[1]))(_reranked_candidates(s, d))
+    return out.select("q", "d", F.round("new_score", 6).alias("new_score"), "new_pos")
+
+
+@_add
+def rerank_late_interaction_order(s, d):
+    """Token matrices of queries and items; queries of every seventh number and items of every fifth have none."""
+    t = _tokens(s, d).select("vec_id", tokens.masked("t").alias("t"))
+    q = t.where("vec_id % 7 <> 0").select(F.col("vec_id").alias("q"), F.col("t").alias("query_tokens"))
+    i = t.where("vec_id % 5 = 0").select(F.floor(F.col("vec_id") / 5).cast("bigint").alias("d"), F.col("t").alias("candidate_tokens")).where("d % 5 <> 0")
+    c = _reranked_candidates(s, d).join(q, "q", "left").join(i, "d", "left")
+    out = _reranker("late_interaction", "late_interaction", weight=0.5)(c)
+    return out.select("q", "d", F.round("new_score", 6).alias("new_score"), "new_pos")
+
+
+@_add
+def rerank_diffusion_order(s, d):
+    """A score without a scale beside a cosine; candidates without either fall out."""
+    c = _reranked_candidates(s, d).withColumn("denoised", F.when(F.col("d") % 6 != 0, -F.col("pos").cast("double"))).withColumn("contrastive", -F.col("score"))
+    out = _reranker("diffusion", "diffusion", weight=0.5)(c)
+    return out.select("q", "d", F.round("new_score", 6).alias("new_score"), "new_pos")
+
+
+def _details(s, d, mode="audio_native_pointwise", tasks=reranked.TASKS):
+    return reranked.all_details(_captions(s, d), _items(s, d), _reranker(mode), tasks, _shown)
 
 
 @_add
 def rank_after_rerank(s, d):
-    return _after(s, d)
+    return _details(s, d, tasks=("t2a",)).select("q", "baseline_rank", "reranked_rank", "skipped")
+
+
+@_add
+def rerank_task_ranks(s, d):
+    """Ranks of every query in all three tasks before and after, with hits."""
+    return _details(s, d).select("task", "q", "baseline_rank", "reranked_rank", "skipped", "target_missing", "hit")
 
 
 @_add
 def rerank_stage_metrics(s, d):
-    def named(c):
-        return c.select("*", F.concat(F.lit("Query "), F.col("q").cast("string")).alias("query_text"), F.concat(F.lit("clip_"), F.col("d").cast("string")).alias("candidate"))
+    config = EvaluationConfig(reranker="audio_native_pointwise", top_k=10)
+    return evaluate_reranked(_captions(s, d), _items(s, d), config, _shown)
 
-    return evaluate_reranked(_captions(s, d), _items(s, d), rerank.build("pointwise", top_k=10), 10, named)
+
+@_add
+def rerank_caption_stage_metrics(s, d):
+    config = EvaluationConfig(tasks=("t2t", "a2t"), reranker="caption_proxy_listwise", top_k=10)
+    return evaluate_reranked(_captions(s, d), _items(s, d), config, _shown)
 
 
 @_add
 def rerank_summary(s, d):
-    runs = table(s, d, "events").select("event_type", "value", (F.col("user_id") % 2 == 0).alias("hit"))
-    return rerank.summary(runs, "event_type", "value", "hit", "event_type")
+    """Calls, hits and modes of real runs in all tasks; timed by a made-up latency."""
+    rows = _details(s, d).withColumn("seconds", (F.col("q") % 10) / 8.0)
+    out = reranked.summary(rows, "mock", 10, latency="seconds")
+    return out.select("*", F.to_json("mode_histogram").alias("modes")).drop("mode_histogram")
+
+
+@_add
+def rerank_diagnostics(s, d):
+    """The columns of a diagnostics file that the plan itself fills."""
+    rows = reranked.diagnostics(_details(s, d, tasks=("a2t",)), dataset="test", model="vectors", top_k=10)
+    return rows.select("dataset", "model", "tasks", "top_k", "query_index", "baseline_rank", "reranked_rank", "target_missing", F.array_join(F.col("original_order").cast("array<string>"), " ").alias("original_order"), F.array_join(F.col("reranked_order").cast("array<string>"), " ").alias("reranked_order"), "reranker_mode")
 
 
 @_add
@@ -446,7 +544,9 @@ def _answers(s, d):
 
 @_add
 def parse_scores(s, d):
-    return _answers(s, d).select("event_id", F.round(text.parse_score("answer", 0.5), 6).alias("score"))
+    """Scores read in the three ways in use."""
+    ways = [F.round(text.parse_score("answer", 0.5, how), 6).alias(f"score_{how}") for how in ("marked", "last", "raw")]
+    return _answers(s, d).select("event_id", *ways)
 
 
 def _orders(s, d):
@@ -458,7 +558,8 @@ def _orders(s, d):
 
 @_add
 def parse_listwise_order(s, d):
-    return _orders(s, d).select("event_id", F.concat_ws(" ", text.parse_order("answer", 4).cast("array<string>")).alias("positions"))
+    ways = [F.concat_ws(" ", text.parse_order("answer", 4, how).cast("array<string>")).alias(f"positions_{how}") for how in ("all", "first", "digits")]
+    return _orders(s, d).select("event_id", *ways)
 
 
 @_add
@@ -587,9 +688,8 @@ def split_semi_join(s, d):
 # token matrices
 
 
-def _tokens(s, d, slot=None):
-    v = table(s, d, "embeddings").withColumn("t", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(V.doubles("embedding"), (i * 8 + 1).cast("int"), 8)))
-    return v if slot is None else v.where(F.col("vec_id") % 5 == slot)
+def _tokens(s, d):
+    return table(s, d, "embeddings").withColumn("t", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(V.doubles("embedding"), (i * 8 + 1).cast("int"), 8)))
 
 
 def _token_rows(s, d, made):
@@ -625,17 +725,79 @@ def token_prune_variance(s, d):
 
 @_add
 def maxsim_scores(s, d):
-    q = _tokens(s, d, 1).select(F.floor(F.col("vec_id") / 5).cast("bigint").alias("clip"), tokens.masked("t").alias("q"))
-    i = _tokens(s, d, 0).select(F.floor(F.col("vec_id") / 5).cast("bigint").alias("clip"), tokens.masked("t").alias("d"))
-    return q.join(i, "clip").select("clip", *[F.round(tokens.maxsim("q", "d", r), 6).alias(f"maxsim_{r}") for r in ("mean", "sum", "max")])
+    """Late interaction of every caption with the item of its clip."""
+    t = _tokens(s, d).select("vec_id", F.floor(F.col("vec_id") / 5).cast("bigint").alias("clip"), tokens.masked("t").alias("q"))
+    items = t.where("vec_id % 5 = 0").select("clip", F.col("q").alias("d"))
+    return t.where("vec_id % 5 <> 0").join(items, "clip").select("vec_id", *[F.round(tokens.maxsim("q", "d", r), 6).alias(f"maxsim_{r}") for r in ("mean", "sum", "max")])
 
 
 @_add
 def masked_mean_pool(s, d):
     """The mean of the tokens with a positive first part."""
-    kept = F.filter("t", lambda v: v[0] > 0)
-    mean = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.aggregate(kept, F.lit(0.0), lambda a, v: a + v[i]) / F.greatest(F.size(kept).cast("double"), F.lit(1e-6)))
-    return _tokens(s, d).select("vec_id", F.posexplode(mean).alias("dim", "x")).select("vec_id", "dim", F.round("x", 6).alias("x"))
+    rows = _tokens(s, d).withColumn("m", F.transform("t", lambda v: (v[0] > 0).cast("int")))
+    return project.mean_pool(rows, "vec_id", "t", "m").select("vec_id", F.posexplode("vec").alias("dim", "x")).select("vec_id", "dim", F.round("x", 6).alias("x"))
+
+
+@_add
+def token_adaptive(s, d):
+    """Eight tokens thinned towards three (and five) in each way."""
+    parts = [_token_rows(s, d, tokens.adaptive("t", n, how)).select(F.lit(f"{how} {n}").alias("how"), "*") for how, n in (("pool", 3), ("stride", 3), ("hybrid", 3), ("hybrid", 5))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@_add
+def token_prune_norm(s, d):
+    return _token_rows(s, d, tokens.prune("t", 0.6, "norm"))
+
+
+@_add
+def token_prepared(s, d):
+    """Queries in the full order: prefix dropped, trimmed, doubled, pooled, made unit length, pruned."""
+    made = tokens.prepared("t", tokens.Reduction(2, 2, 0.6), True, prefix=1, most=6, transform=lambda v: F.transform(v, lambda x: x * 2))
+    return _token_rows(s, d, made)
+
+
+@_add
+def maxsim_batch_scores(s, d):
+    """Masked MaxSim of every caption with its clip's item; tokens with a negative first part are masked."""
+    mask = F.transform("t", lambda v: (v[0] > 0).cast("int"))
+    unit = F.transform("t", lambda v: V.unit(v))
+    t = _tokens(s, d).select("vec_id", F.floor(F.col("vec_id") / 5).cast("bigint").alias("clip"), unit.alias("t"), mask.alias("m"))
+    q, i = t.where("vec_id % 5 <> 0"), t.where("vec_id % 5 = 0").select("clip", F.col("t").alias("d"), F.col("m").alias("dm"))
+    return q.join(i, "clip").select("vec_id", F.round(tokens.maxsim_masked("t", "d", "m", "dm"), 6).alias("score"))
+
+
+@_add
+def time_embeddings(s, d):
+    steps = table(s, d, "embeddings").select(F.col("vec_id").alias("step"))
+    return steps.select("step", F.posexplode(matching.time_embedding(F.col("step") % 100, 6)).alias("dim", "x")).select("step", "dim", F.round("x", 6).alias("x"))
+
+
+@_add
+def infonce_blacklist_loss(s, d):
+    """The batch loss without pairs of clips with following numbers."""
+    a, b = _batch(s, d)
+    return metrics.info_nce(a, b, blacklist=a.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+
+
+@_add
+def numbered_entries(s, d):
+    """Manifest rows with entry ids that count the whole order."""
+    w = table(s, d, "wavcaps_manifest").select("record_id")
+    return readers.split_entries(w, "wavcaps", "train", "record_id").select("record_id", "entry_id")
+
+
+@_add
+def chosen_captions(s, d):
+    """Two captions of each clip by the seeded draw."""
+    return splits.chosen_captions(_captions(s, d), "clip", "id", 11, 2)
+
+
+@_add
+def token_archive_texts(s, d):
+    """Archives by caption text, the first by path."""
+    w = table(s, d, "wavcaps_manifest").select("caption", F.col("audio_relpath").alias("path")).where("path is not null")
+    return readers.token_archives_by_text(w).select("text_key", F.size("paths").alias("n"), "first")
 
 
 @_add

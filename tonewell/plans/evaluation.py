@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import metrics, mining, ranking, rerank
-from ..operators.similarity import top_k
+from ..operators import metrics, mining, ranking, rerankers
+from . import reranked
 
 
 @dataclass(frozen=True)
@@ -23,7 +23,7 @@ class EvaluationConfig:
     ks: Sequence[int] = metrics.KS
     mode: str = "captionwise"
     reranker: str | None = None
-    client: str = "hash"
+    client: str = "mock"
     top_k: int = 50
 
 
@@ -58,19 +58,16 @@ def evaluate(captions: DataFrame, items: DataFrame, config: EvaluationConfig = E
     return metrics.all_metrics(task_ranks(captions, items, config), "task", ks=config.ks)
 
 
-def evaluate_reranked(queries: DataFrame, items: DataFrame, run: rerank.Reranker, k: int, enrich=None) -> DataFrame:
-    """stage (baseline, reranked) and metrics of text-to-item retrieval with a second stage over the first k.
+def evaluate_reranked(captions: DataFrame, items: DataFrame, config: EvaluationConfig, enrich=None) -> DataFrame:
+    """task, stage (baseline, reranked) and metrics, with the reranker that `config` names over its first top_k.
 
-    `queries` and `items` have id, clip and vec; `enrich` may add to the candidates (q, d, score, pos) what the
-    reranker reads.
+    `enrich(task, candidates)` may add to the candidates (q, d, score, pos) what the reranker reads. A reranker takes part
+    only while captions stand for themselves.
     """
-    baseline = ranking.text_to_item(queries, items)
-    candidates = top_k(queries, items, k).select(F.col("id").alias("q"), F.col("other").alias("d"), "score", "pos")
-    order = run(enrich(candidates) if enrich else candidates)
-    targets = baseline.join(queries.select("id", F.col("clip").alias("d")), "id").select(F.col("id").alias("q"), "d", F.col("rank").alias("baseline_rank"))
-    after = rerank.rank_after(order, targets)
-    both = after.select(F.explode(F.array(F.struct(F.lit("baseline").alias("stage"), F.col("baseline_rank").cast("bigint").alias("rank")), F.struct(F.lit("reranked").alias("stage"), F.col("reranked_rank").alias("rank")))).alias("x"))
-    return metrics.all_metrics(both.select("x.stage", "x.rank"), "stage")
+    if config.mode != "captionwise":
+        raise ValueError("a reranker needs captions that stand for themselves")
+    run = rerankers.build({"enabled": True, "mode": config.reranker, "top_k": config.top_k, "client": {"name": config.client}})
+    return reranked.stage_metrics(reranked.all_details(captions, items, run, config.tasks, enrich), config.ks)
 
 
 def hard_negatives(items: DataFrame, captions: DataFrame, k: int = 50, threshold: float = 0.7, most: int = 50, keep: int | None = None) -> DataFrame:

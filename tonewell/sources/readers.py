@@ -14,14 +14,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clip_of_key, stem
+from ..functions.text import clip_of_key, squash, stem
+from ..operators.splits import numbered
 
 __all__ = [
     "alias", "audio_files", "blacklist", "caption_csv", "captions_long", "captions_wide", "encode_rows", "hard_negative_captions", "intent_queries_flat",
-    "intent_queries_grouped", "keyed_vectors", "manifest_json", "mecat", "negative_queries", "neighbour_records", "one_caption", "ratings", "sample_manifest", "skip_list", "split_entries", "token_archives", "training_entries", "vector_bundle",
+    "intent_queries_grouped", "keyed_vectors", "manifest_json", "mecat", "negative_queries", "neighbour_records", "one_caption", "ratings", "resolved_clips", "sample_manifest", "skip_list", "split_entries", "start_name", "token_archives", "token_archives_by_text", "training_entries", "vector_bundle",
 ]
 
 
+# The field names that the functions below look for are those of the files in use.
+
+
 def alias(df: DataFrame, *names: str) -> Column:
     """The first of the columns that is there and not blank."""
     there = [F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in names if n in df.columns]
@@ -33,18 +37,46 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _placed(df: DataFrame) -> DataFrame:
-    """With pos, which follows the order of rows in a file."""
-    return df.withColumn("pos", F.monotonically_increasing_id())
+    """A scan with pos, which follows the names of the files and the order of rows in them.
+
+    Spark packs pieces of files into tasks by size, so the counter of a task alone would not tell the order: the file and
+    the place of the piece in it come first.
+    """
+    pos = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return df.select("*", pos.alias("pos"))
 
 
-def caption_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A caption file of either layout, told by its header; neither is an error."""
-    columns = _csv(spark, path).columns
-    if "file_name" in columns or "file" in columns:
-        return captions_wide(spark, path)
-    if "audiocap_id" in columns:
-        return captions_long(spark, path)
-    raise ValueError(f"no known caption layout in {columns}")
+def caption_csv(spark: SparkSession, path: str, text_field: str | None = None, query_field: str | None = None, files: DataFrame | None = None) -> DataFrame:
+    """A caption file of either layout, told by its header; neither is an error, and so is a file without any clip.
+
+    `text_field` (wide layout) names the one column that is a clip's only caption; `query_field` the one that is its query
+    besides the captions (query_text); both at once, or one that is not there, are errors. Rows whose text or query is blank
+    are dropped. With `files` (path), clips without an audio file are dropped as well.
+    """
+    if text_field and query_field:
+        raise ValueError("text_field and query_field exclude each other")
+    df = _csv(spark, path)
+    for name in (text_field, query_field):
+        if name and name not in df.columns:
+            raise ValueError(f"no column {name!r} in {df.columns}")
+    if "file_name" in df.columns or "file" in df.columns:
+        out = captions_wide(spark, path)
+        if text_field or query_field:
+            name = alias(df, "file_name", "file")
+            asked = df.select(name.alias("file"), F.trim(F.col(text_field or query_field)).alias("_t")).where(F.coalesce("_t", F.lit("")) != "").dropDuplicates(["file"])
+            out = out.join(asked, "file")
+            out = out.withColumn("captions", F.array("_t")).drop("_t") if text_field else out.withColumnRenamed("_t", "query_text")
+    elif "audiocap_id" in df.columns:
+        out = captions_long(spark, path)
+    else:
+        raise ValueError(f"no known caption layout in {df.columns}")
+    if files is not None:
+        name = F.col("clip_id") if "file" not in out.columns else stem("file")
+        there = files.select(stem("path").alias("_stem")).distinct()
+        out = out.join(there, name == F.col("_stem"), "left_semi")
+    if out.isEmpty():
+        raise ValueError("no clips: check the file and the folder of audio")
+    return out
 
 
 def captions_wide(spark: SparkSession, path: str, number: int = 5) -> DataFrame:
@@ -66,10 +98,25 @@ def captions_long(spark: SparkSession, path: str) -> DataFrame:
 
 def split_entries(captions: DataFrame, dataset: str, split: str, order: str) -> DataFrame:
     """captions with entry_id `{dataset}_{split}_{index:04d}`, the index by `order` from 0."""
-    from pyspark.sql import Window
+    rows = numbered(captions, order, name="_n")
+    return rows.withColumn("entry_id", F.format_string(f"{dataset}_{split}_%04d", F.col("_n"))).drop("_n")
 
-    index = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)) - 1  # manifests of one split: thousands of rows
-    return captions.withColumn("entry_id", F.format_string(f"{dataset}_{split}_%04d", index.cast("int")))
+
+def resolved_clips(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
+    """clip_id, audiocap_id, captions, audio_path of a long caption file: the first file name in use that is there, else null.
+
+    Tried in this order: the id of the clip, its composite name, and the name with whole seconds; `files` has path.
+    """
+    clips = captions_long(spark, path)
+    names = F.filter(F.array("audiocap_id", "clip_id", F.concat(F.lit("Y"), "clip_id")), lambda n: n.isNotNull())
+    there = files.select(stem("path").alias("_v"), "path").groupBy("_v").agg(F.min("path").alias("path"))
+    tried = clips.select("clip_id", F.posexplode(names).alias("_p", "_v")).join(there, "_v").groupBy("clip_id").agg(F.min_by("path", "_p").alias("audio_path"))
+    return clips.join(tried, "clip_id", "left")
+
+
+def start_name(start: Column) -> Column:
+    """A start time as file names have it: whole seconds, halves to the even one."""
+    return F.bround(start.try_cast("double"), 0).cast("bigint").cast("string")
 
 
 def one_caption(captions: DataFrame, index: int = 1) -> DataFrame:
@@ -100,6 +147,12 @@ def token_archives(df: DataFrame, clip: str = "clip_id", path: str = "path") ->
     return first.select("alias", *[F.col("_r")[c].alias(c) for c in df.columns])
 
 
+def token_archives_by_text(df: DataFrame, text: str = "caption", path: str = "path") -> DataFrame:
+    """text_key, paths and first: the archives of each caption text, in the order of paths; case and runs of spaces do not matter."""
+    rows = df.select(squash(text).alias("text_key"), F.col(path).alias("_path")).where("text_key <> ''")
+    return rows.groupBy("text_key").agg(F.array_sort(F.collect_set("_path")).alias("paths"), F.min("_path").alias("first"))
+
+
 def mecat(spark: SparkSession, folder: str) -> DataFrame:
     """clip_id, captions of a folder of JSON files; the text `none` is no caption."""
     df = spark.read.schema("short array<string>").option("multiLine", True).json(folder).withColumn("clip_id", stem(F.input_file_name()))
@@ -201,19 +254,29 @@ def audio_files(spark: SparkSession, folder: str, suffix: str = "*.wav") -> Data
     return df.select("path", stem("path").alias("clip_id"), "content")
 
 
-def encode_rows(df: DataFrame, value: str, encoder, dim: int) -> DataFrame:
+def encode_rows(df: DataFrame, value: str, encoder, dim: int, unreadable: str = "null", silence=None) -> DataFrame:
     """`df` with embedding, by an encoder that maps a list of values to an array of `dim` columns.
 
-    The encoder is made once per task by calling `encoder()`; Arrow batches are its batches. Values it cannot
-    encode (it may return None for a row) have a null embedding.
+    The encoder is made once per task by calling `encoder()`; Arrow batches are its batches. For values it cannot encode (it
+    returns None for a row) `unreadable` says what happens: the embedding is `null`, the row is dropped (`drop`: what is left
+    keeps its columns, so texts beside it stay aligned), the value `silence` is encoded in its place (`silence`), or the
+    run fails (`raise`).
     """
+    if unreadable not in ("null", "drop", "silence", "raise"):
+        raise ValueError(unreadable)
     schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder()
         for batch in batches:
-            rows = encode(batch[value].tolist())
+            rows = list(encode(batch[value].tolist()))
+            bad = [i for i, r in enumerate(rows) if r is None]
+            if bad and unreadable == "raise":
+                raise ValueError(f"{len(bad)} values that cannot be encoded, the first is {batch[value].iloc[bad[0]]!r}")
+            if bad and unreadable == "silence":
+                for i, r in zip(bad, encode([silence] * len(bad))):
+                    rows[i] = r
             batch["embedding"] = [None if r is None else np.asarray(r, np.float32)[:dim] for r in rows]
-            yield batch
+            yield batch[batch["embedding"].notna()] if unreadable == "drop" else batch
 
     return df.mapInPandas(make, schema)
