@@ -72,6 +72,23 @@ def render(template: str, **values: Column | str) -> Column:
     return out
 
 
+def few_shot(task: Column | str, examples: Column | str, question: Column | str, head: str = "Examples:", pattern: str = "- {query} => {answer}") -> Column:
+    """A prompt with worked examples (ARRAY of structs with query and answer) between the task and the question.
+
+    Without examples the block is left out.
+    """
+    lines = F.transform(col(examples), lambda e: F.replace(F.replace(F.lit(pattern), F.lit("{query}"), F.coalesce(e["query"], F.lit(""))), F.lit("{answer}"), F.coalesce(e["answer"].cast("string"), F.lit(""))))
+    block = F.when(F.coalesce(F.size(col(examples)), F.lit(0)) > 0, F.concat(F.lit(head), F.lit("\n"), F.array_join(lines, "\n")))
+    return F.concat_ws("\n\n", col(task), block, col(question))
+
+
+def first_seen(df: DataFrame, by: str, value: str, order: str) -> DataFrame:
+    """`by`, values: the distinct values of each group, in the order in which they are first seen; null and blank ones fall away."""
+    first = df.where(filled(value)).groupBy(by, value).agg(F.min(order).alias("_o"))
+    item = F.struct("_o", F.col(value).alias("v"))
+    return first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias("values"))
+
+
 def generate(rows: DataFrame, backend_fn: Callable[[list[str]], list[str]], prompt: str = "prompt") -> DataFrame:
     """`rows` with query and error, by a backend that answers a batch of prompts.
 

@@ -18,9 +18,9 @@ from ..operators import matching, metrics, mining, project, ranking, rerank, rer
 from ..operators.packed import split_packed
 from ..operators.similarity import top_clips, top_k
 from ..session import table
-from ..sources import readers
+from ..sources import readers, writers
 from ..streaming.monitor import windowed_metrics
-from . import reranked, sql
+from . import precompute, reranked, sql
 from .evaluation import EvaluationConfig, evaluate, evaluate_reranked, task_ranks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -587,6 +587,40 @@ def grouped_uiq(s, d):
     return g.select("clip_id", F.size("source_captions").alias("captions"), F.size("uiq").alias("queries"), F.array_join(F.transform("uiq", lambda u: F.concat_ws(":", u["query_type"], u["query"])), "|").alias("listed"))
 
 
+@_add
+def captions_by_clip(s, d):
+    """The different captions of each clip's queries, in the order of their first delivery."""
+    q = table(s, d, "intent_queries").where("clip_id is not null")
+    return prompts.first_seen(q, "clip_id", "original_caption", "query_id").select("clip_id", F.array_join("values", " | ").alias("captions"))
+
+
+@_add
+def few_shot_prompts(s, d):
+    """A prompt for each asked query with its three most similar examples, where there are any."""
+    near = jaccard_topk_examples(s, d).where("jaccard > 0")
+    q = table(s, d, "intent_queries").select(F.col("query_id").alias("a"), F.coalesce("original_caption", F.lit("")).alias("asked")).where("a % 100 = 0")
+    pool = table(s, d, "captions").select(F.col("record_id").alias("b"), "caption_1")
+    shown = near.join(pool, "b").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("caption_1").alias("query"), F.col("jaccard").cast("decimal(9,3)").alias("answer")))).alias("shown"))
+    made = q.join(shown, "a", "left").select("a", prompts.few_shot(F.lit("Rate how well the text fits."), "shown", F.concat(F.lit("Text: "), "asked")).alias("prompt"))
+    return made
+
+
+@_add
+def refreshed_metrics(s, d):
+    """Stored metrics by category, with those that were computed again in their place."""
+    old = metrics.all_metrics(_by_category(s, d), "category").withColumn("mrr", F.lit(-1.0))
+    new = metrics.all_metrics(_by_category(s, d).where("category <> 'Pragmatic'"), "category").select("category", "mrr")
+    return writers.refreshed(old, new, ["category"])
+
+
+@_add
+def precomputed_queries(s, d):
+    """Query texts sent through an encoder that knows words alone; blank ones have no vector."""
+    q = table(s, d, "intent_queries").select("query_id", "query")
+    made = precompute.encoded(q, "query", "hashed", "text")
+    return made.select("query_id", F.col("embedding").isNotNull().alias("there"), F.round(V.norm("embedding"), 4).alias("length"))
+
+
 @_add
 def uiq_last_wins(s, d):
     q = table(s, d, "intent_queries").where(F.col("clip_id").isNotNull() & text.filled("query")).withColumn("kind", F.coalesce(prompts.query_type("query_type"), F.lit("generic")))

@@ -277,6 +277,10 @@ def statements() -> dict[str, str]:
  b AS (SELECT t0.q, t0.d, x.i, max(list_inner_product(x.t, y.t)) AS b FROM t0 JOIN n x ON x.vec_id = t0.q JOIN n y ON y.vec_id = t0.d * 5 WHERE t0.q % 7 <> 0 AND t0.d % 5 <> 0 GROUP BY ALL),
  s AS (SELECT q, d, avg(b) AS m FROM b GROUP BY ALL), t1 AS (SELECT t0.*, s.m FROM t0 LEFT JOIN s USING (q, d)),
  {_new("CASE WHEN q % 7 <> 0 THEN 0.5::DOUBLE * score + 0.5::DOUBLE * coalesce(m, score) ELSE -pos::DOUBLE END", "t1")} SELECT q, d, round(new_score, 6) AS new_score, new_pos FROM k2""",
+        "captions_by_clip": f"""WITH f AS (SELECT clip_id, original_caption AS v, min(query_id) AS o FROM intent_queries WHERE clip_id IS NOT NULL AND {_FILLED.format("original_caption")} GROUP BY ALL)
+ SELECT clip_id, string_agg(v, ' | ' ORDER BY o) AS captions FROM f GROUP BY clip_id""",
+        "refreshed_metrics": f"{_PER_CATEGORY} SELECT * REPLACE (CASE WHEN category = 'Pragmatic' THEN -1.0::DOUBLE ELSE mrr END AS mrr) FROM m",
+        "precomputed_queries": rf"SELECT query_id, {_FILLED.format('query')} AS there, CASE WHEN {_FILLED.format('query')} THEN 1.0::DOUBLE END AS length FROM intent_queries",
         "token_stride": f"{_TOK} SELECT vec_id, CAST((i - 1) // 2 AS INT) AS tok, {_WEIGHTED.format('t')} AS total FROM k WHERE i >= 1 AND (i - 1) % 2 = 0",
         "token_trim": f"{_TOK} SELECT vec_id, CAST(i - 2 AS INT) AS tok, {_WEIGHTED.format('t')} AS total FROM k WHERE i BETWEEN 2 AND 5",
         "token_prune_variance": f"""{_TOK}, s AS (SELECT *, round(list_var_pop(t), 12) AS v FROM k), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS r FROM s)
