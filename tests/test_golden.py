@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tonewell.functions import prompts, text
 from tonewell.functions import vectors as V
-from tonewell.operators import matching, metrics, mining, ranking, rerank, splits, tokens
+from tonewell.operators import matching, metrics, mining, ranking, rerank, rerankers, splits, tokens
 from tonewell.operators.similarity import top_k
 
 SCORES = [[0.9, 0.5, 0.5, 0.1], [0.2, 0.8, 0.8, 0.8], [0.3, 0.3, 0.3, 0.3], [0.7, 0.6, 0.5, 0.4]]
