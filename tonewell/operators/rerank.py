@@ -5,6 +5,7 @@ Rerankers by configuration are made in `rerankers`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,3 +99,37 @@ def hash_score(*parts: Column) -> Column:
 
 
 Reranker = Callable[[DataFrame], DataFrame]
+
+
+def denoised_scores(candidates: DataFrame, vectors: str, query: str, denoiser: Callable[[], Callable], alphas: list[float], steps: int, seed: int = 0) -> DataFrame:
+    """q, d, denoised: scores of a query's candidates drawn out of noise by a denoiser, in steps that skip through the schedule.
+
+    `candidates` has q, d, `query` and `vectors` (vectors of the query and of the candidate; rows without either fall out).
+    `denoiser()` is called once a task and gives a function of (query vector, candidate matrix, noisy scores, step) that predicts
+    clean scores. `alphas` are the running products of the schedule. The noise of a row comes from its seed, q and d alone, so
+    runs agree on any cluster. A query's candidates meet in one group, which is as long as the first stage's limit.
+    """
+    import numpy as np
+    import pandas as pd
+
+    every = max(1, len(alphas) // max(1, steps))
+    times = list(range(0, len(alphas), every))[::-1]
+    noise = F.sqrt(-2.0 * F.log(F.greatest(hash_score(F.lit(f"{seed}/u"), F.col("q").cast("string"), F.col("d").cast("string")), F.lit(1e-12)))) * F.cos(
+        2 * math.pi * hash_score(F.lit(f"{seed}/v"), F.col("q").cast("string"), F.col("d").cast("string"))
+    )
+    rows = candidates.where(F.col(query).isNotNull() & F.col(vectors).isNotNull()).select("q", "d", F.col(query).alias("_a"), F.col(vectors).alias("_b"), noise.alias("_x"))
+
+    def sample(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("d")
+        predict = denoiser()
+        a, b, x = np.asarray(group["_a"].iloc[0], np.float64), np.stack(group["_b"].to_list()).astype(np.float64), group["_x"].to_numpy(np.float64)
+        for t, after in zip(times, [*times[1:], None]):
+            clean = np.asarray(predict(a, b, x, t), np.float64)
+            if after is None:
+                x = clean
+            else:
+                rest = (x - math.sqrt(alphas[t]) * clean) / math.sqrt(1 - alphas[t] + 1e-8)
+                x = math.sqrt(alphas[after]) * clean + math.sqrt(1 - alphas[after]) * rest
+        return pd.DataFrame({"q": group["q"], "d": group["d"], "denoised": x})
+
+    return rows.groupBy("q").applyInPandas(sample, "q long, d long, denoised double")
