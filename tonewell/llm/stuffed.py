@@ -62,7 +62,7 @@ def function_counts(words: list[str]) -> list[int]:
 
 
 URL = re.compile(r"(?:https?://|ftp://|www\.)[^\s<>\"')\]]+", re.I)
-TAG = re.compile(r"</?[a-z][^<>]{0,200}>", re.I)
+TAG = re.compile(r"</?[a-z][^<>]*>", re.I)
 WORD = re.compile(r"[^\W_]+")
 #: A sentence: up to closing marks that end the line or stand before a space.
 SENTENCE = re.compile(r"\S.*?(?:[.!?…؟।]+[\"'»”’)\]]*(?=\s|$)|[。！？]+[\"'»”’)\]」』]*)|\S.*$")
