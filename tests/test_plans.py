@@ -244,6 +244,20 @@ def test_written_tables_are_deleted(spark):
     assert not Path(path).exists()
 
 
+def test_mining_stages_run_apart(spark, tmp_path):
+    from tonewell.plans import evaluation
+
+    rng = np.random.default_rng(3)
+    unit = lambda n: [v.tolist() for v in (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.standard_normal((n, 4)))]
+    items = spark.createDataFrame([(i, v) for i, v in enumerate(unit(12))], "id long, vec array<double>")
+    captions = spark.createDataFrame([(i, i // 2, v) for i, v in enumerate(unit(24))], "id long, clip long, vec array<double>")
+    evaluation.mine_stage(items, str(tmp_path / "mined"), k=5)
+    evaluation.filter_stage(str(tmp_path / "mined"), captions, str(tmp_path / "kept"), threshold=0.6, most=2)
+    whole = {(r.id, r.other, r.pos) for r in evaluation.hard_negatives(items, captions, k=5, threshold=0.6, most=2).collect()}
+    got = {(r.id, n.other, n.pos) for r in spark.read.json(str(tmp_path / "kept")).collect() for n in r.hard_negatives}
+    assert got == whole and got
+
+
 def test_command_line(spark, tmp_path, capsys):
     vectors = spark.createDataFrame([(i, i // 2, [float(i), 1.0]) for i in range(6)], "id long, clip long, vec array<double>")
     vectors.write.parquet(str(tmp_path / "c"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import sources
 from ..operators import metrics, mining, ranking, rerankers
 from . import reranked
 
@@ -74,3 +75,19 @@ def hard_negatives(items: DataFrame, captions: DataFrame, k: int = 50, threshold
     """id, other, score, pos, similarity, kept: acoustic neighbours whose captions differ enough, in order."""
     pairs = mining.neighbours(items, k, keep)
     return mining.filter_then_limit(mining.group_similarity(pairs, captions), threshold, most)
+
+
+def mine_stage(items: DataFrame, out: str, k: int = 50, keep: int | None = None) -> None:
+    """First stage alone: one JSON record an anchor, audio_id and its neighbors in order, at `out`."""
+    item = F.struct("pos", F.col("other").alias("audio_id"), "score")
+    rows = mining.neighbours(items, k, keep).groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("n"))  # k entries an anchor
+    named = F.transform("n", lambda x: F.struct(x["audio_id"].alias("audio_id"), x["score"].alias("score")))
+    sources.records_jsonl(rows.select(F.col("id").alias("audio_id"), named.alias("neighbors")), out, overwrite=True)
+
+
+def filter_stage(mined: str, captions: DataFrame, out: str, threshold: float = 0.7, most: int = 50) -> None:
+    """Second stage alone, from the records of the first: anchors with their hard negatives, and how many were filtered out, at `out`."""
+    pairs = sources.neighbour_records(captions.sparkSession, mined).select(F.col("id").cast("bigint").alias("id"), F.col("other").cast("bigint").alias("other"), "score", "pos")
+    sizes = pairs.groupBy("id").agg(F.count("*").alias("n"))
+    kept = mining.filter_then_limit(mining.group_similarity(pairs, captions), threshold, most)
+    sources.records_jsonl(mining.as_records(kept.join(sizes, "id")), out, overwrite=True)
