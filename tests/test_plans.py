@@ -118,12 +118,13 @@ def test_hits_and_missing_targets(spark):
     assert diagnostics.columns == reranked.DIAGNOSTICS and len(diagnostics.columns) == 35
 
 
-def test_small_gallery_spreads_over_tasks(spark):
+def test_small_gallery_spreads_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "GALLERY_GROUP", 64)
     rng = np.random.default_rng(1)
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((3000, 4)))], "id long, vec array<double>")
     g = q.where("id < 5")
     nq, ng = similarity._groups(q, g)
-    assert ng == 1 and nq >= spark.sparkContext.defaultParallelism
+    assert ng == 1 and nq * ng >= spark.sparkContext.defaultParallelism
     clips = q.where("id < 300").withColumn("clip", F.when(F.col("id") < 250, 0).otherwise(F.col("id")))  # one clip has most captions
     x = np.array([r.vec for r in q.orderBy("id").collect()])
     best: dict = {}

@@ -227,7 +227,8 @@ def top_clips(queries: DataFrame, captions: DataFrame, k: int, exclude_self: boo
 
     `exclude_self` leaves out the caption with the query's own id.
 
-    A clip lies in one gallery group whole, so each cell gives k clips a query at most, whatever the sizes of clips are.
+    Each cell gives its k best clips a query, whatever the sizes of clips are, and a clip may lie in several cells: where its
+    best caption lies, at most k - 1 clips stand before one of the k best.
     """
 
     def fn(row: dict, s: np.ndarray) -> pd.DataFrame:
@@ -246,7 +247,9 @@ def top_clips(queries: DataFrame, captions: DataFrame, k: int, exclude_self: boo
         made = pd.DataFrame({"id": np.repeat(q, m), "clip": clips[by][first][order].ravel(), "score": np.take_along_axis(best, order, 1).ravel(), "caption": named})
         return made[made["score"] > -np.inf]
 
-    parts = _cells(queries.select("id", "vec"), captions.select("id", "clip", "vec"), fn, "id long, clip long, score double, caption long", (), ("clip",), g_by="clip")
+    found = _cells(queries.select("id", "vec"), captions.select("id", "clip", "vec"), fn, "id long, clip long, score double, caption long", (), ("clip",))
+    best = F.max(F.struct("score", (-F.col("caption")).alias("_c")))
+    parts = found.groupBy("id", "clip").agg(best.alias("b")).select("id", "clip", "b.score", (-F.col("b._c")).alias("caption"))
     order = Window.partitionBy("id").orderBy(F.desc("score"), F.asc("caption"))
     return parts.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).select("id", "clip", "score", "pos")
 
