@@ -102,9 +102,9 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _spread(vectors: DataFrame, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and deviation of the projections, from FIT_ROWS rows at most (a hash picks them)."""
-    share = min(1.0, FIT_ROWS / max(1, vectors.count()))
+def _spread(vectors: DataFrame, turns: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the projections, from FIT_ROWS rows at most of the `count` (a hash picks them)."""
+    share = min(1.0, FIT_ROWS / max(1, count))
     chosen = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     width = turns.shape[1]
 
@@ -157,7 +157,8 @@ def _placed(vectors: DataFrame, orderings: int, dim: int, window: int = WINDOW,
     neighbouring windows meet wherever a run is cut.
     """
     turns, shifts = _turns(dim, orderings)
-    mean, deviation = _spread(vectors, turns)
+    count = vectors.count()
+    mean, deviation = _spread(vectors, turns, count)
     width = turns.shape[1] // orderings
 
     def placed(part: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -174,7 +175,6 @@ def _placed(vectors: DataFrame, orderings: int, dim: int, window: int = WINDOW,
                 for o, place, finer, _ in placed(part):
                     yield pd.DataFrame({"bundle": part["bundle"], "ordering": np.full(len(part), o, np.int32), "place": place, "finer": finer, "vec_id": part["vec_id"]})
 
-    count = vectors.count()
     share = min(1.0, BOUND_ROWS / max(1, count))
     few = vectors.where(F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
     known = few.mapInPandas(sampled, "bundle string, ordering int, place long, finer long, vec_id long").toPandas()  # BOUND_ROWS * orderings rows
