@@ -111,3 +111,31 @@ def test_copies_of_one_vector_and_equal_places_are_spread(spark, monkeypatch):
     assert placed.groupBy("bundle").agg({"vec_id": "count"}).count() == 3 and placed.select("vec_id").distinct().count() == len(rows)
     want, have = brute(rows, 5, 0.85, 8), got(N.similar_vectors(df, k=5, least=0.85, dim=8))
     assert {w for w in want if w[0] < 150} <= have and len(want & have) >= 0.95 * len(want)
+
+
+def test_keys_of_partitions_sort_as_places_do():
+    rng = np.random.default_rng(8)
+    place, finer, ids = rng.integers(0, 1 << 56, 3000), rng.integers(0, 1 << 56, 3000), rng.integers(-(1 << 62), 1 << 62, 3000)
+    place[1000:] = rng.integers(0, 700, 2000)  # equal places, and some whose lower byte is the only one that differs
+    finer[2000:] = 256
+    order = np.argsort(N._keys(place, finer, ids), kind="stable")
+    assert order.tolist() == np.lexsort((ids, finer, place)).tolist()
+
+
+def test_more_partitions_find_the_same(spark):
+    """Rows of a partition are neighbours on the curve however many partitions there are."""
+    rng = np.random.default_rng(11)
+    x = (rng.standard_normal((1000, 16)).repeat(3, axis=0) + 0.2 * rng.standard_normal((3000, 16))).astype(np.float32)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = unit @ unit.T
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(score >= 0.851)) if i != j and (score[i] > score[i, j]).sum() <= 5}
+    before, size = spark.conf.get("spark.sql.shuffle.partitions"), N.WINDOW
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    N.WINDOW = 32
+    try:
+        found = N.similar_vectors(table(spark, [(i, "a", v) for i, v in enumerate(x)]), k=5, least=0.85, dim=16)
+        have = {(r.vec_id, r.other) for r in found.collect()}
+    finally:
+        N.WINDOW = size
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(want) > 4000 and len(want & have) >= 0.9 * len(want)

@@ -126,8 +126,9 @@ def _spread(vectors: DataFrame, turns: np.ndarray, count: int) -> tuple[np.ndarr
 
 def _keys(place: np.ndarray, finer: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Place, its finer half and key as strings of bytes that sort as they do."""
-    parts = [place.astype(">u8"), finer.astype(">u8"), (ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8")]
-    return np.ascontiguousarray(np.stack(parts, axis=1)).view("S24").ravel()
+    parts = [place.astype(np.uint64), finer.astype(np.uint64), ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)]
+    # high bytes first, and only here: stacking turns bytes back into the machine's order
+    return np.ascontiguousarray(np.stack(parts, axis=1).astype(">u8")).view("S24").ravel()
 
 
 def _bounds(sample: pd.DataFrame, rows: int, window: int, most: int) -> tuple[dict[tuple[str, int], tuple[int, np.ndarray, np.ndarray]], int]:
