@@ -1,8 +1,9 @@
 """The most similar vectors of every vector, by shifted Hilbert curves.
 
-Every usable vector is projected to `DIMS` directions, each spread evenly over the cells of a grid, and put on
-`ORDERINGS` Hilbert curves; each ordering turns and shifts the projection anew. Rows of an ordering are range
-partitioned by their place on the curve (bounds come from a sample), and a window of `WINDOW` rows is compared with itself and the next
+Every usable vector is put on `ORDERINGS` orderings; each turns the space anew. An ordering goes through cells of the
+space: a vector is in the cell of the direction that it lies furthest along (either way), which parts rows at random far
+better than it parts similar ones. Within a cell rows follow a shifted Hilbert curve over `DIMS` directions, each spread
+evenly over a grid. Rows of an ordering are range partitioned by their place (bounds come from a sample), and a window of `WINDOW` rows is compared with itself and the next
 one in one matrix product. To spare the shuffle, rows travel as one byte per part; the bytes decide only which
 pairs are computed exactly. A row keeps all its partners of a window up to `KEEP`; the partners of all orderings
 merge, and exact double precision cosines rank them again.
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, norm, usable
 from ..session import written
 
-ORDERINGS = 8
+ORDERINGS = 10
 DIMS = 8
-#: Bits of a direction in each of the two halves of a place: crowds far tighter than the whole are still spread out.
-BITS = 7
+#: Directions that name cells at most: a cell and the first half of a place share 64 bits.
+CELL_DIMS = 1 << 14
+#: Bits of a direction in the two halves of a place: crowds far tighter than the whole are still spread out.
+HIGH, LOW = 6, 7
 WINDOW = 1024
 KEEP = 12
 #: Rows of a window in the search among crowded rows, and rows of it that are compared at once.
@@ -90,11 +93,10 @@ def hilbert_place(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _turns(dim: int, orderings: int) -> tuple[np.ndarray, np.ndarray]:
-    """Orthogonal directions (dim x orderings * DIMS) and shifts of the orderings."""
+    """Orthogonal directions (dim x orderings * dim) and shifts of the curves (orderings x at most DIMS)."""
     rng = np.random.default_rng(SEED)
-    width = min(DIMS, dim)
-    turns = np.hstack([np.linalg.qr(rng.standard_normal((dim, dim)))[0][:, :width] for _ in range(orderings)])
-    return turns, rng.random(orderings * width) * 0.25
+    turns = np.hstack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(orderings)])
+    return turns, rng.random((orderings, min(DIMS, dim))) * 0.25
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
@@ -113,7 +115,7 @@ def _spread(vectors: DataFrame, turns: np.ndarray, count: int) -> tuple[np.ndarr
         for batch in batches:
             if len(batch):
                 y = _unit(batch["embedding"]) @ turns
-                n, s, q = n + len(y), s + y.sum(0), q + (y * y).sum(0)
+                n, s, q = n + len(y), s + y.sum(0), q + np.einsum("ij,ij->j", y, y)
         yield pd.DataFrame({"at": np.arange(width), "n": np.full(width, n), "s": s, "q": q})
 
     sums = chosen.select("embedding").mapInPandas(moments, "at int, n long, s double, q double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
@@ -151,7 +153,7 @@ def _bounds(sample: pd.DataFrame, rows: int, window: int, most: int) -> tuple[di
 
 
 def _placed(vectors: DataFrame, orderings: int, dim: int, window: int = WINDOW, whole: bool = False) -> DataFrame:
-    """bundle, ordering, place and its finer half, vec_id, code: each vector once for each ordering, in partitions that are sorted along the curves.
+    """bundle, ordering, place (cell and place on its curve) and its finer half, vec_id, code: each vector once for each ordering, in partitions that are sorted along the curves.
 
     code is bytes, or `whole` floats. Bounds of the partitions come from BOUND_ROWS vectors at most; a bound lies between two
     rows even if their places are equal. The first window of a partition is given to the one before as well, so that
@@ -160,15 +162,19 @@ def _placed(vectors: DataFrame, orderings: int, dim: int, window: int = WINDOW,
     turns, shifts = _turns(dim, orderings)
     count = vectors.count()
     mean, deviation = _spread(vectors, turns, count)
-    width = turns.shape[1] // orderings
+    width = shifts.shape[1]
+    levels = 1 << (HIGH + LOW)
 
     def placed(part: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         x = _unit(part["embedding"])
-        even = 1.0 / (1.0 + np.exp(-1.702 * ((x @ turns - mean) / deviation)))
-        cells = np.minimum((even * 0.75 + shifts) * (1 << 2 * BITS), (1 << 2 * BITS) - 1).astype(np.uint32)
         for o in range(orderings):
-            g = _gray(cells[:, o * width : (o + 1) * width], 2 * BITS)
-            yield o, _interleaved(g, 2 * BITS, BITS), _interleaved(g, BITS, 0), x
+            own = slice(o * dim, (o + 1) * dim)
+            y = (x @ turns[:, own] - mean[own]) / deviation[own]
+            far = np.abs(y[:, :CELL_DIMS]).argmax(1)
+            cell = 2 * far + (y[np.arange(len(y)), far] < 0)
+            even = 1.0 / (1.0 + np.exp(-1.702 * y[:, :width]))
+            g = _gray(np.minimum((even * 0.75 + shifts[o]) * levels, levels - 1).astype(np.uint32), HIGH + LOW)
+            yield o, (cell.astype(np.int64) << (HIGH * width)) | _interleaved(g, HIGH + LOW, LOW), _interleaved(g, LOW, 0), x
 
     def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
