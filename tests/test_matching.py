@@ -43,3 +43,19 @@ def test_examples_of_many_rows_take_little_time(spark):
     began = time.process_time(), time.time()
     assert M.similar_examples(asked, pool, 3).count() == 3 * len(q)
     assert time.time() - began[1] < 25
+
+
+def test_prompts_of_many_queries_take_little_time(spark, tmp_path):
+    from tonewell.plans import catalog
+
+    q, p = some(1000, seed=6), some(20_000, 10_000, seed=7)
+    spark.createDataFrame([(i * 100, " ".join(x)) for i, x in q], "query_id long, original_caption string").write.parquet(f"{tmp_path}/intent_queries.parquet")
+    spark.createDataFrame([(i, " ".join(x)) for i, x in p], "record_id long, caption_1 string").write.parquet(f"{tmp_path}/captions.parquet")
+    began = time.time()
+    made = {r.a: r.prompt for r in catalog.queries()["few_shot_prompts"](spark, str(tmp_path)).collect()}
+    assert time.time() - began < 25
+    texts = dict(p)
+    for i, x in q[:5]:
+        best = [j for s, j in sorted((-jaccard(x, y), j) for j, y in p)[:3] if s < 0]
+        shown = [made[i * 100].find(" ".join(texts[j])) for j in best]
+        assert min(shown, default=0) >= 0
