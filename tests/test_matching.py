@@ -59,3 +59,37 @@ def test_prompts_of_many_queries_take_little_time(spark, tmp_path):
         best = [j for s, j in sorted((-jaccard(x, y), j) for j, y in p)[:3] if s < 0]
         shown = [made[i * 100].find(" ".join(texts[j])) for j in best]
         assert min(shown, default=0) >= 0
+
+
+def near(n, start=0, seed=1):
+    """Families of lists of terms that differ in a few terms, of all sizes, with equal lists and an empty one."""
+    r = random.Random(seed)
+    frames = [[f"w{r.randrange(60)}" for _ in range(r.choice((1, 2, 3, 4, 7, 12, 20, 45, 120)))] for _ in range(12)]
+    made = [(start, [])]
+    for i in range(1, n):
+        base = list(random.Random(i % 12 + 7).choice(frames))
+        for _ in range(r.randrange(3)):
+            base[r.randrange(len(base))] = f"w{r.randrange(60 + 900 * (len(base) > 40))}"
+        made.append((start + i, base))
+    return made
+
+
+def test_similar_sets_of_all_sizes_against_all_pairs(spark):
+    q, p = near(150, seed=2), near(170, 1000, seed=3)
+    for threshold in (0.3, 0.6, 0.85, 1.0):
+        want = {(i, j, jaccard(x, y)) for i, x in q for j, y in p if x and y and jaccard(x, y) >= threshold}
+        assert {tuple(r) for r in M.similar_sets(sets(spark, q), sets(spark, p), threshold).collect()} == want
+        best = {}
+        for i, j, s in sorted(want, key=lambda w: (w[0], -w[2], w[1])):
+            best.setdefault(i, (i, j, s))
+        assert {tuple(r) for r in M.best_similar(sets(spark, q), sets(spark, p), threshold).collect()} == set(best.values())
+
+
+def test_one_rare_term_is_no_candidate(spark, monkeypatch):
+    """Sets that have one rare term of the first ones in common and little else do not meet."""
+    r = random.Random(5)
+    rows = [(i, [f"r{i % 4}", *(f"w{x}" for x in r.sample(range(400), 16))]) for i in range(800)]
+    exact = M.Fraction(0.85).limit_denominator(10_000)
+    grams = M._grams(sets(spark, rows).select("id", "terms"), "id", "terms", M.np.zeros(M.CELLS, int), exact)
+    other = grams.withColumnRenamed("id", "b")
+    assert grams.join(other, "gram").where("id < b").select("id", "b").distinct().count() < 2000
