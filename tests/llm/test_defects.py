@@ -165,3 +165,22 @@ def test_one_script_is_no_defect(model):
     assert not D.foreign(CAPTION, "Find audio of a rusty bell (колокол) ringing softly in a harbour", model)
     assert not D.foreign(CAPTION, "123, 45", model) and not D.foreign("123", RUSSIAN, model)
     assert D.foreign(CAPTION, "Die Glocke klingt leise im Hof und der Hund bellt", model)
+
+
+def test_endings_are_learned_from_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(D, "SHARD_PAIRS", 100)
+    rows = [(i, f"a dog w{i} barks near the old house", f"find a dog w{i} that barks {'often' if i % 20 == 0 else 'now'} {'seldom' if i % 20 == 1 and i > 1 else 'here'} near the house.") for i in range(300)]
+    model = D.Model()
+    D.fit_endings(spark.createDataFrame(rows, "key long, c string, q string"), model)
+    # 15 of 300 pairs are five of a hundred, 14 are not: no pair is left out of the count
+    assert "often" in model.known and "seldom" not in model.known
+    cells = {c for _, c, q in rows for t in [D.body(q)] for c in D.ending(D.words(c), D.words(t), t, model.piece)}
+    assert (model.weights[sorted(cells)] != 0).mean() > 0.99
+
+
+def test_languages_are_learned_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(D, "PER_LANGUAGE", 10)
+    rows = [(i, f"the dog barks qx{chr(97 + i % 26)}{chr(97 + i // 26)}z", "en") for i in range(200)]
+    model = D.Model()
+    D.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model)
+    assert all(f"{chr(97 + i % 26)}{chr(97 + i // 26)}z" in model.triples["en"] for i in range(200))

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words as spark_words
+from ..session import written
 from .stuffed import ALL_FUNCTION_WORDS, LANGUAGE_OF
 
 KINDS = ("empty", "refusal", "copy", "language", "truncated")
@@ -67,18 +68,20 @@ FINAL = re.compile(r"[.!?。！？](?:[\"'»”’)\]`*]|</\w+>|\s)*$")
 #: Where a sentence begins.
 BEGIN = re.compile(r"(?:^|(?<=[.!?。！？])\s+|\n)[\s\"'“«*_]*")
 
-#: Labelled documents that the language model is fitted on at most, for each language; whole texts.
-SAMPLE_PER_LANGUAGE = 1_000
+#: Documents of a language that its counts are brought down to: what was never seen then costs the same in every corpus.
+PER_LANGUAGE = 1_000
+#: Different words that a task holds before it tells their triples.
+HELD = 500_000
 #: Share of all triples of a language from which a triple is told to the driver: at most 1 / TRIPLE of them.
 TRIPLE = 1e-6
 LANGUAGES = ("en", "fr", "de", "es")
 #: How much likelier, in nats, a language must be than the other before a text counts as written in it.
 SURE = 5.0
-#: Pairs that the model of endings is trained on at most, and its size.
-SAMPLE_PAIRS = 20_000
+#: Pairs of a shard that a model of endings is trained on, and its size; every pair is in a shard.
+SHARD_PAIRS = 20_000
 CELLS = 1 << 17
 EPOCHS = 12
-#: Words that the sampled pairs hold at least so often are known ones.
+#: Words that SHARD_PAIRS pairs hold at least so often on average are known ones.
 KNOWN = 5
 #: Log odds from which an ending counts as cut. Cut endings are two of three in training and rare in use.
 CUT = 2.5
@@ -278,32 +281,33 @@ def _triples(word: str) -> list[str]:
     return [p[i : i + 3] for i in range(len(p) - 2)]
 
 
-def _sampled(rows: DataFrame, key: Column, most: int, count: int) -> DataFrame:
-    """About `most` of the rows at most, by a hash of their key."""
-    share = min(1.0, most / max(1, count))
-    return rows.where(F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-
-
 def fit_languages(documents: DataFrame, model: Model) -> None:
-    """The language model, from about SAMPLE_PER_LANGUAGE whole documents a language at most; triples are counted where the texts are."""
+    """The language model, from all whole documents of the languages, as if each had PER_LANGUAGE at most; triples are counted where the texts are."""
     lang = F.lower(F.trim("lang"))
-    rows = documents.where(lang.isin(*LANGUAGES) & F.col("text").isNotNull()).select(lang.alias("l"), "text", "doc_id")
+    rows = documents.where(lang.isin(*LANGUAGES) & F.col("text").isNotNull()).select(lang.alias("l"), "text")
     sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}  # one row a language
-    share = F.create_map(*[F.lit(x) for k in LANGUAGES for x in (k, min(1.0, SAMPLE_PER_LANGUAGE / max(1, sizes.get(k, 0))))])
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < share[F.col("l")] * (1 << 20)).select("l", "text")
+    share = F.create_map(*[F.lit(x) for k in LANGUAGES for x in (k, min(1.0, PER_LANGUAGE / max(1, sizes.get(k, 0))))])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, Counter[str]] = {}
+        seen: dict[str, Counter[str]] = {}
+
+        def told() -> Iterator[pd.DataFrame]:
+            for name, c in seen.items():
+                grams: Counter[str] = Counter()
+                for w, n in c.items():
+                    for g in _triples(w):
+                        grams[g] += n
+                yield pd.DataFrame({"l": name, "g": list(grams), "n": list(grams.values())})
+            seen.clear()
+
         for batch in batches:
             for name, text in zip(batch["l"], batch["text"]):
-                c = counts.setdefault(name, Counter())
-                for w, n in Counter(words(text)).items():
-                    for g in _triples(w):
-                        c[g] += n
-        for name, c in counts.items():
-            yield pd.DataFrame({"l": name, "g": list(c), "n": list(c.values())})
+                seen.setdefault(name, Counter()).update(words(text))
+            if sum(map(len, seen.values())) > HELD:
+                yield from told()
+        yield from told()
 
-    summed = chosen.mapInPandas(count, "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    summed = written(rows.mapInPandas(count, "l string, g string, n long").groupBy("l", "g").agg((F.sum("n") * share[F.col("l")]).alias("n")))
     totals = {r["l"]: r["n"] for r in summed.groupBy("l").agg(F.sum("n").alias("n")).collect()} if sizes else {}
     if not totals:
         return
@@ -370,53 +374,71 @@ def _cuts(text: str) -> list[str]:
     return out
 
 
+def _trained(cells: list, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the cells and how often each is seen: logistic regression by AdaGrad in the order given."""
+    size = np.array([len(c) for c in cells])
+    flat = np.concatenate(cells).astype(np.int64)
+    start = np.r_[0, np.cumsum(size)]
+    w, speed = np.zeros(CELLS), np.full(CELLS, 1e-3)
+    for _ in range(EPOCHS):
+        for a in range(0, len(y), 512):
+            b = min(len(y), a + 512)
+            part = flat[start[a] : start[b]]
+            row = np.repeat(np.arange(b - a), size[a:b])
+            z = np.bincount(row, w[part], minlength=b - a)
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[a:b]) / np.sqrt(size[a:b])
+            touched, inverse = np.unique(part, return_inverse=True)
+            g = np.bincount(inverse, error[row]) + 1e-3 * w[touched]
+            speed[touched] += g * g
+            w[touched] -= 0.3 * g / np.sqrt(speed[touched])
+    return w, np.bincount(flat, minlength=CELLS)
+
+
 def fit_endings(pairs: DataFrame, model: Model) -> None:
-    """The words that are known and the model of endings, from about SAMPLE_PAIRS pairs at most; only features reach the driver.
+    """The words that are known and the model of endings, from all pairs; at most CELLS weights and a bounded number of words reach the driver.
 
-    Logistic regression on hashed features, by AdaGrad in a fixed order.
+    Pairs are dealt by a hash of their key to shards of about SHARD_PAIRS. Each trains a logistic regression on hashed features in
+    a fixed order; a weight is the mean over the shards by how often they saw its cell.
     """
-    sample = _sampled(pairs, F.col("key"), SAMPLE_PAIRS, pairs.count())
+    total = pairs.count()
     inner = [F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))) for w in (spark_words("c"), spark_words("q"))]  # a last word may be a piece
-    counted = sample.select(F.explode(F.concat(*inner)).alias("w")).groupBy("w").count().where(F.col("count") >= KNOWN)
-    model.known = sorted(r["w"] for r in counted.collect())  # at most (words of the sample) / KNOWN
+    least = max(KNOWN, KNOWN * total / SHARD_PAIRS)
+    counted = pairs.select(F.explode(F.concat(*inner)).alias("w")).groupBy("w").count().where(F.col("count") >= least)
+    model.known = sorted(r["w"] for r in counted.collect())  # at most (words of SHARD_PAIRS pairs) / KNOWN
     piece = model.piece
+    shards = max(1, math.ceil(total / SHARD_PAIRS))
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = []
-            for c, q in zip(batch["c"], batch["q"]):
+            for shard, c, q in zip(batch["shard"], batch["c"], batch["q"]):
                 text = body(q or "")
                 if not FINAL.search(q or "") or text.endswith(("…", "...")) or unclosed(text) or REFUSAL.match(text):
                     continue
                 cw, qw = words(c), words(text)
                 if not qw or qw == cw:
                     continue
-                made.append((0, ending(cw, qw, text, piece)))
-                made += [(1, ending(cw, words(t), t, piece)) for t in _cuts(text)]
+                made.append((shard, 0, ending(cw, qw, text, piece)))
+                made += [(shard, 1, ending(cw, words(t), t, piece)) for t in _cuts(text)]
             if made:
-                yield pd.DataFrame(made, columns=["cut", "cells"])
-
-    got = sample.select("c", "q").mapInPandas(examples, "cut int, cells array<int>").toPandas()
-    if not len(got) or got["cut"].nunique() < 2:
-        return
-    # the order must not depend on the partitions
-    got = got.assign(k=[zlib.crc32(np.asarray(x, np.int32).tobytes()) for x in got["cells"]]).sort_values("k", kind="stable")
-    size = got["cells"].str.len().to_numpy()
-    flat, y = np.concatenate(got["cells"].to_list()).astype(np.int64), got["cut"].to_numpy(np.float64)
-    start = np.r_[0, np.cumsum(size)]
-    w, speed = np.zeros(CELLS), np.full(CELLS, 1e-3)
-    for _ in range(EPOCHS):
-        for a in range(0, len(y), 512):
-            b = min(len(y), a + 512)
-            cells = flat[start[a] : start[b]]
-            row = np.repeat(np.arange(b - a), size[a:b])
-            z = np.bincount(row, w[cells], minlength=b - a)
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[a:b]) / np.sqrt(size[a:b])
-            touched, inverse = np.unique(cells, return_inverse=True)
-            g = np.bincount(inverse, error[row]) + 1e-3 * w[touched]
-            speed[touched] += g * g
-            w[touched] -= 0.3 * g / np.sqrt(speed[touched])
-    model.weights = w.astype(np.float32)
+                yield pd.DataFrame(made, columns=["shard", "cut", "cells"])
+
+    def train(got: pd.DataFrame) -> pd.DataFrame:
+        if got["cut"].nunique() < 2:
+            return pd.DataFrame({"cell": [], "w": [], "n": []})
+        # the order must not depend on the partitions
+        got = got.assign(k=[zlib.crc32(np.asarray(x, np.int32).tobytes()) for x in got["cells"]]).sort_values(["k", "cut"], kind="stable")
+        w, n = _trained(got["cells"].to_list(), got["cut"].to_numpy(np.float64))
+        at = np.flatnonzero(n)
+        return pd.DataFrame({"cell": at, "w": w[at], "n": n[at]})
+
+    dealt = pairs.select(F.pmod(F.xxhash64(F.lit(11), "key"), F.lit(shards)).cast("int").alias("shard"), "c", "q")
+    told = dealt.mapInPandas(examples, "shard int, cut int, cells array<int>").groupBy("shard").applyInPandas(train, "cell int, w double, n long")
+    mean = told.groupBy("cell").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).toPandas()  # CELLS rows at most
+    if len(mean):
+        weights = np.zeros(CELLS, np.float32)
+        weights[mean["cell"].to_numpy(np.int64)] = mean["w"].to_numpy()
+        model.weights = weights
 
 
 # Scripts that one language writes side by side count as one; a Japanese text is told from a Chinese one by its kana.
