@@ -3,6 +3,9 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
+import pandas as pd
+
 from tonewell.operators import matching as M
 
 
@@ -61,6 +64,37 @@ def test_prompts_of_many_queries_take_little_time(spark, tmp_path):
         assert min(shown, default=0) >= 0
 
 
+def test_rows_that_cannot_be_among_the_best_cost_little():
+    """Captions of frequent and rare words: a pair costs far less than counting all its terms, and nothing is lost."""
+    r = random.Random(8)
+
+    def made(n):
+        return [sorted({*r.sample(range(12), 6), *(12 + int(900 * r.random() ** 2) for _ in range(9))}) for _ in range(n)]
+
+    q, p = made(2000) + [[], [0], [11, 911], list(range(300))], made(60_000) + [[], [3], list(range(10, 400))]
+    asked, pool = (pd.Series([np.array(x, np.int64) * 7919 for x in rows]) for rows in (q, p))
+    began = time.process_time()
+    at, found, score = M._best_shared(asked, pool, 3)
+    assert time.process_time() - began < 8
+    for i in (0, 1, 1999, 2000, 2001, 2002, 2003):
+        best = sorted((-jaccard(q[i], y), j) for j, y in enumerate(p))[:3]
+        assert [(-s, j) for s, j in zip(score[at == i], found[at == i])] == best
+
+
+def test_slices_carry_the_best_on(monkeypatch):
+    """Many small slices, ties between them, and queries that share nothing with most rows."""
+    monkeypatch.setattr(M, "POOL_SLICE", 64)
+    r = random.Random(9)
+    q = [[t for t in range(40) if r.random() < 0.2] for _ in range(150)] + [[], [99], [5]]
+    p = [[t for t in range(40) if r.random() < r.choice((0.02, 0.2, 0.6))] for _ in range(500)]
+    asked, pool = (pd.Series([np.array(x, np.int64) for x in rows]) for rows in (q, p))
+    for k in (1, 3, 600):
+        at, found, score = M._best_shared(asked, pool, k)
+        for i, x in enumerate(q):
+            best = sorted((-jaccard(x, y), j) for j, y in enumerate(p))[:k]
+            assert [(-s, j) for s, j in zip(score[at == i], found[at == i])] == best
+
+
 def near(n, start=0, seed=1):
     """Families of lists of terms that differ in a few terms, of all sizes, with equal lists and an empty one."""
     r = random.Random(seed)
