@@ -64,6 +64,22 @@ def test_prompts_of_many_queries_take_little_time(spark, tmp_path):
         assert min(shown, default=0) >= 0
 
 
+def test_every_query_has_a_prompt(spark, tmp_path):
+    """Also queries whose ids are not divisible by a hundred, equal ones, and those without examples."""
+    from tonewell.plans import catalog
+
+    q = [(1, "Rain falls softly"), (2, "a dog barks"), (57, "rain falls softly"), (100, "xylophone"), (101, None), (250, "")]
+    p = [(9, "rain falls"), (7, "a dog barks twice"), (8, "Rain falls."), (6, None), (5, "softly")]
+    spark.createDataFrame(q, "query_id long, original_caption string").write.parquet(f"{tmp_path}/intent_queries.parquet")
+    spark.createDataFrame(p, "record_id long, caption_1 string").write.parquet(f"{tmp_path}/captions.parquet")
+    made = {r.a: r.prompt for r in catalog.queries()["few_shot_prompts"](spark, str(tmp_path)).collect()}
+    head, rain = "Rate how well the text fits.\n\n", "Examples:\n- Rain falls. => 0.667\n- rain falls => 0.667\n- softly => 0.333\n\n"
+    assert made == {
+        1: f"{head}{rain}Text: Rain falls softly", 2: f"{head}Examples:\n- a dog barks twice => 0.750\n\nText: a dog barks", 57: f"{head}{rain}Text: rain falls softly",
+        100: f"{head}Text: xylophone", 101: f"{head}Text: ", 250: f"{head}Text: ",
+    }
+
+
 def test_rows_that_cannot_be_among_the_best_cost_little():
     """Captions of frequent and rare words: a pair costs far less than counting all its terms, and nothing is lost."""
     r = random.Random(8)
@@ -81,6 +97,24 @@ def test_rows_that_cannot_be_among_the_best_cost_little():
         assert [(-s, j) for s, j in zip(score[at == i], found[at == i])] == best
 
 
+def test_equal_sets_and_rare_terms_in_one_cell(monkeypatch):
+    """Many equal queries and rows, terms of few rows, sets of all sizes, more slices and hits than are taken at once."""
+    monkeypatch.setattr(M, "POOL_SLICE", 3000)
+    monkeypatch.setattr(M, "FLAGS_AT_ONCE", 50)
+    r = random.Random(10)
+
+    def made(n):
+        rows = [[*r.sample(range(8), r.randrange(8)), *r.sample(range(8, 60), r.choice((0, 1, 5, 40))), *{100 + int(4000 * r.random()) for _ in range(r.randrange(4))}] for _ in range(n)]
+        return [*rows, *(list(reversed(rows[r.randrange(n // 9)])) for _ in range(n)), [], [], [7], list(range(300))]
+
+    q, p = made(120), made(700)
+    asked, pool = (pd.Series([np.array(x, np.int64) for x in rows]) for rows in (q, p))
+    at, found, score = M._best_shared(asked, pool, 3)
+    for i, x in enumerate(q):
+        best = sorted((-jaccard(x, y), j) for j, y in enumerate(p))[:3]
+        assert [(-s, j) for s, j in zip(score[at == i], found[at == i])] == best
+
+
 def test_slices_carry_the_best_on(monkeypatch):
     """Many small slices, ties between them, and queries that share nothing with most rows."""
     monkeypatch.setattr(M, "POOL_SLICE", 64)
